@@ -47,7 +47,7 @@ def apply_stable_map(headings: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(ids, ["doc_id", "signature", "nth"], "left")
 
 
-_FAMILY_OUT = "doc_id long, base string, shifts array<long>"
+_FAMILY_OUT = "base string, shifts array<long>"
 
 
 def _resolve_family(pdf):
@@ -101,7 +101,8 @@ def unique_ids(df: DataFrame) -> DataFrame:
     marks = contested.select("doc_id", "parent", F.col("first_ord").alias("ord"), F.lit(0).alias("copy"), "child", "n", "root")
     before = scan(copies.unionByName(marks), ["doc_id", "parent"], ["ord"], {"before": running_sum(F.col("copy"))})
     before = before.where("child IS NOT NULL").select("doc_id", "root", "parent", "child", "n", "before")
-    shifts = before.groupBy("doc_id", "root").applyInPandas(_resolve_family, _FAMILY_OUT)
+    shifts = before.groupBy("doc_id", "root").applyInPandas(
+        _resolve_family, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {_FAMILY_OUT}")
 
     out = rows.join(shifts, keys, "left")
     idx = F.col("_k") + F.coalesce(F.size(F.filter("shifts", lambda t: t <= F.col("_k"))), F.lit(0))
