@@ -326,12 +326,13 @@ def config_hash(**settings) -> Column:
 
 
 def guess_heading_level(c) -> Column:
-    s = strip(F.coalesce(_c(c), F.lit("")))
+    raw = F.coalesce(_c(c), F.lit(""))
+    s = strip(raw)
     n = F.length(s)
     caps = (n <= 60) & (F.upper(s) == s) & s.rlike("[A-Z]") & ~s.rlike("[a-z]")
     caps_title = s.rlike(U + r"^[A-Z\s]{2,60}$") & ((words(s) >= 2) | (n >= 6))
     return _first([(caps & (n <= 4), F.lit(0)), (caps & caps_title, F.lit(2))]
-                  + [(has(s, p), F.lit(v)) for p, v in K.GUESS_LEVEL], F.lit(0))
+                  + [(has(raw, r"^\s*" + p[1:]), F.lit(v)) for p, v in K.GUESS_LEVEL], F.lit(0))
 
 
 def list_marker(c) -> Column:

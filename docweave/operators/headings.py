@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import labels as L
+from .binding import bind
 from .scan import count_since, last_value, row_number, running_sum, scan
 
 DOC = ["doc_id"]
@@ -32,9 +33,9 @@ def number_headings(headings: DataFrame, manual_type: str = "chapter", preserve:
 
 def stable_map(headings: DataFrame) -> DataFrame:
     """Nth id of every heading signature, one row per heading that carries an id."""
-    rows = (headings.select("doc_id", "ord", L.heading_signature("text").alias("signature"),
-                            L.strip(F.coalesce("id", F.lit(""))).alias("id"))
-            .where((F.col("signature") != "") & (F.col("id") != "")))
+    rows = (bind(headings.select("doc_id", "ord", "text", "id"), {
+        "signature": L.heading_signature("text"), "id": L.strip(F.coalesce("id", F.lit("")))})
+            .select("doc_id", "ord", "signature", "id").where((F.col("signature") != "") & (F.col("id") != "")))
     return scan(rows, ["doc_id", "signature"], ["ord"], {"nth": row_number()}).select(
         "doc_id", "signature", F.col("nth").cast("long").alias("nth"), "id", "ord")
 
@@ -117,8 +118,8 @@ def assign_ids(headings: DataFrame, mapping: DataFrame | None = None, keep_exist
     df = df.withColumn("existing_id", L.strip(F.coalesce("existing_id", F.lit(""))))
     df = df.withColumn("_text", L.strip("text"))
     kept = (F.col("existing_id") != "") & F.lit(keep_existing)
-    slug = L.heading_slug("_text")
-    slug = F.when(slug == "", "heading").otherwise(slug)
+    df = bind(df, {"_slug": L.heading_slug("_text")})
+    slug = F.when(F.col("_slug") == "", "heading").otherwise(F.col("_slug"))
     if mapping is not None:
         sig = F.when(~kept, L.heading_signature("_text")).otherwise("")
         df = df.withColumn("signature", sig)
@@ -131,7 +132,7 @@ def assign_ids(headings: DataFrame, mapping: DataFrame | None = None, keep_exist
         source = F.when(kept, "kept").otherwise("slug")
         base = F.when(kept, F.col("existing_id")).otherwise(slug)
     cols = [c for c in headings.columns if c != "existing_id"]
-    df = df.select(*cols, "existing_id", source.alias("id_source"), base.alias("base"))
+    df = bind(df, {"id_source": source, "base": base}).select(*cols, "existing_id", "id_source", "base")
     return unique_ids(df)
 
 
@@ -225,9 +226,9 @@ def heading_keys(headings: DataFrame) -> DataFrame:
     df = df.where("text <> ''")
     ex = lambda c, p, g, ic=True: F.regexp_extract(c, (L.IU if ic else L.U) + p, g)
     t = F.col("text")
-    df = df.withColumns({
+    df = bind(df, {
         "_fp": ex(t, K.FULL_HEADING, 1), "_fn": ex(t, K.FULL_HEADING, 2), "_ft": L.strip(ex(t, K.FULL_HEADING, 3)),
-        "_pn": F.rtrim(F.lit("."), F.upper(ex(t, K.PARTIAL_HEADING, 1, False))),
+        "_pn": F.rtrim(F.upper(ex(t, K.PARTIAL_HEADING, 1, False)), F.lit(".")),
         "_pt": L.strip(ex(t, K.PARTIAL_HEADING, 2, False))})
     df = df.withColumn("_full", F.col("_fp") != "")
     df = scan(df, DOC, ["ord"], {
@@ -235,20 +236,20 @@ def heading_keys(headings: DataFrame) -> DataFrame:
     level = F.col("level")
     partial = ~F.col("_full") & F.col("_prev").isNotNull() & (F.col("_pn") != "") & ~F.col("_pn").isin(*K.NOT_A_NUMBER)
     parts = F.when(F.col("_full"), F.filter(F.split(F.col("_fn"), r"\."), lambda p: p != "")).otherwise(F.split("_pn", r"\."))
-    df = df.withColumns({"_part": partial, "_p": parts})
+    df = bind(df, {"_part": partial, "_p": parts})
     n = F.size("_p")
     sub = F.col("_part") & (n > 1) & (n <= level - 1) & (ex(F.col("_pt"), K.SUB_NUMBER, 1) != "")
-    df = df.withColumn("_sub", sub)
+    df = bind(df, {"_sub": sub})
     values = (F.when(F.col("_full"), F.col("_p"))
               .when(F.col("_sub"), F.concat("_p", F.array(F.upper(ex(F.col("_pt"), K.SUB_NUMBER, 1)))))
               .otherwise(F.col("_p")))
     title = (F.when(F.col("_full"), F.col("_ft"))
              .when(F.col("_sub"), L.strip(ex(F.col("_pt"), K.SUB_NUMBER, 2)))
              .when(F.col("_part"), F.col("_pt")).otherwise(t))
-    df = df.withColumns({"_v": values, "_title": title})
+    df = bind(df, {"_v": values, "_title": title})
     single = F.col("_part") & (n == 1)
     depth = F.when(single, level).otherwise(F.least(F.size("_v"), F.lit(6)))
-    df = df.withColumns({"_single": single, "_depth": depth})
+    df = bind(df, {"_single": single, "_depth": depth})
     slots = {}
     for i in range(6):
         own = F.when(F.col("_single"), F.when(level == i + 1, F.get("_v", F.lit(0)))).otherwise(F.get("_v", F.lit(i)))
@@ -339,7 +340,7 @@ def infer_maps(headings: DataFrame) -> DataFrame:
     """(doc_id, kind, key, level): level of the first heading per last token type and per
     full token sequence."""
     tokens = F.when(F.size(L.style_tokens("text")) > 0, L.style_tokens("text")).otherwise(L.heading_tokens("text"))
-    df = headings.select("doc_id", "ord", "level", L.token_types(tokens).alias("types"))
+    df = bind(headings.select("doc_id", "ord", "level", "text"), {"types": L.token_types(tokens)})
     df = df.where((F.size("types") > 0) & ~F.array_contains("types", "") & (F.col("level") > 0))
     rows = df.select("doc_id", "ord", "level", F.inline(F.array(
         F.struct(F.lit("style").alias("kind"), F.element_at("types", -1).alias("key")),

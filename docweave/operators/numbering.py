@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..session import durable
+from .binding import bind
 from .scan import count_since, row_number, scan
 
 # Token type per Word number format.
@@ -60,7 +61,7 @@ def list_numbers(numbered: DataFrame, levels: DataFrame) -> DataFrame:
     values = [L.format_number(value(k), F.coalesce(d(k)["num_fmt"], F.lit("decimal"))) for k in range(9)]
     own = d(lv)
     text = F.when(F.coalesce(own["lvl_text"], F.lit("")) != "", L.strip(_expand(own["lvl_text"], values)))
-    df = df.withColumn("num_text", F.coalesce(text, F.lit("")))
+    df = bind(df, {"num_text": F.coalesce(text, F.lit(""))})
     t = L.strip(F.coalesce("text", F.lit("")))
     add = ((F.col("num_text") != "") & (F.col("heading_level") > 0) & (t != "") & ~L.has_number_prefix("text")
            & ~F.lower(t).startswith(F.lower("num_text")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import labels as L
 from ..functions import urls as U
+from .binding import bind
 from .paragraphs import likely_level
 
 PATTERN = L.IU + "(" + K.CITATION + ")"
@@ -56,8 +57,8 @@ def extract_references_docx(paragraphs: DataFrame) -> DataFrame:
     """Citations of body paragraphs. Headings, dot leaders and page-number lines are
     skipped, and so is a leading label that reads as a heading title."""
     t = F.col("text")
-    df = paragraphs.withColumn("text", L.strip(F.coalesce("text", F.lit("")))).where("text <> ''")
-    df = df.where(likely_level("text") == 0)
+    df = bind(paragraphs, {"text": L.strip(F.coalesce("text", F.lit("")))}).where("text <> ''")
+    df = bind(df, {"_lvl": likely_level("text")}).where("_lvl = 0")
     df = df.where(~L.has("text", r"\.{3,}|\t+\d+$") & t.rlike(PATTERN))
     df = df.select("doc_id", "para_idx", F.col("text").alias("para_text"), F.inline(find_all("text", PATTERN)))
     df = df.where(L.is_reference_label("label"))
@@ -79,11 +80,14 @@ def occurrence_index(refs: DataFrame) -> DataFrame:
 
 def candidate_labels(label, manual_type: str = "chapter") -> Column:
     """Ordered, de-duplicated candidate keys of a label."""
-    pred = L.convert_numbering(label)
+    return _candidates(L.convert_numbering(label), L.full_roman_numbering(label), manual_type)
+
+
+def _candidates(pred: Column, roman: Column, manual_type: str) -> Column:
     low = F.lower(pred)
     swap = (F.when(low.startswith("chapter "), F.regexp_replace(pred, "^Chapter ", "Section "))
             .when(low.startswith("section "), F.regexp_replace(pred, "^Section ", "Chapter ")))
-    cands = F.filter(F.array(pred, swap, L.full_roman_numbering(label)), lambda c: c.isNotNull())
+    cands = F.filter(F.array(pred, swap, roman), lambda c: c.isNotNull())
     if manual_type not in K.SECTION_TYPES:
         cands = F.flatten(F.transform(cands, lambda c: F.when(
             F.lower(c).startswith("section "),
@@ -98,8 +102,9 @@ def match_references(refs: DataFrame, keys: DataFrame, manual_type: str = "chapt
     labels = (refs.where(L.has("label", K.CITED_LABEL, True))
               .groupBy("doc_id", F.col("label").alias("old_ref"))
               .agg(F.min(F.struct("para_idx", "start")).alias("_at")))
-    labels = labels.withColumn("label", F.col("old_ref")).where(~(lead > 50)).withColumns({
-        "predicted": L.convert_numbering("label"), "cands": candidate_labels("label", manual_type)})
+    labels = bind(labels.withColumn("label", F.col("old_ref")), {"_lead": lead}).where("NOT coalesce(_lead > 50, false)")
+    labels = bind(labels, {"predicted": L.convert_numbering("label"), "_rom": L.full_roman_numbering("label")})
+    labels = bind(labels, {"cands": _candidates(F.col("predicted"), F.col("_rom"), manual_type)})
     probes = labels.select("doc_id", "old_ref", "predicted", "_at", F.posexplode("cands").alias("rank", "key"))
     known = keys.select("doc_id", "key").distinct().withColumn("_hit", F.lit(1))
     best = (probes.join(known, ["doc_id", "key"], "left").groupBy("doc_id", "old_ref", "predicted", "_at")

@@ -10,12 +10,14 @@ summary side, one row per chunk.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 # Positions per chunk. Positions are document offsets, so this bounds rows per task.
 CHUNK = 1 << 18
 
@@ -57,6 +59,12 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec
     (any non-null value that grows with the order) is given."""
     chunk = F.floor(F.col(order[0]) / F.lit(CHUNK)).cast("long") if chunk is None else chunk
     df = df.withColumn("_chunk", chunk)
+    names = df.columns
+    given = {f"_v_{n}": s.value for n, s in specs.items()}
+    given |= {f"_w_{n}": s.reset for n, s in specs.items() if s.reset is not None}
+    df = bind(df, given)
+    specs = {n: replace(s, value=F.col(f"_v_{n}"), reset=None if s.reset is None else F.col(f"_w_{n}"))
+             for n, s in specs.items()}
     ordering = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,5 +136,5 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec
         else:
             final[name] = F.greatest(l, c)
     out = out.withColumns(final)
-    keep_cols = [c for c in df.columns if c != "_chunk"] + [n for n in specs if n not in df.columns]
+    keep_cols = [c for c in names if c != "_chunk"] + [n for n in specs if n not in names]
     return out.select(*keep_cols)
