@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import labels as L
+from ..session import durable
 from .binding import bind
 from .scan import count_since, last_value, row_number, running_sum, scan
 
@@ -83,6 +84,7 @@ def unique_ids(df: DataFrame) -> DataFrame:
     copies came first), and only that summary is walked in order.
     """
     keys = ["doc_id", "base"]
+    df = durable(df)
     rows = scan(df, keys, ["ord"], {"_k": row_number()}).withColumn("_k", F.col("_k") - 1)
     bases = df.groupBy(*keys).agg(F.count("*").alias("cnt"), F.min("ord").alias("first_ord"))
     pat = r"^(.+)-([1-9]\d{0,17})$"
