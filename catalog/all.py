@@ -1,9 +1,9 @@
 """Imports every group so that its queries are registered."""
 
-from . import headings, refs, tables, text  # noqa: F401
+from . import headings, refs, sources, tables, text  # noqa: F401
 from .registry import BUILDERS, oracle_sql, queries  # noqa: F401
 from .fixtures import Source
 
 
 def flagship(spark, sf_dir):
-    return BUILDERS["heading_slug"](Source(spark, sf_dir))
+    return BUILDERS["permalink_flow"](Source(spark, sf_dir))

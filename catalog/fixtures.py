@@ -154,7 +154,7 @@ SELECT CAST(c_nationkey AS BIGINT) doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'p'
 SELECT concat('bundle-', CAST(doc_id AS STRING)) path, member, CAST(floor(price * 10000) AS BIGINT) size, member LIKE '%/' is_dir FROM (
   SELECT doc_id, price, CASE pk % 9 WHEN 0 THEN 'manifest.json' WHEN 1 THEN 'edits.json' WHEN 2 THEN 'source.docx'
     WHEN 3 THEN CASE WHEN doc_id % 10 = 0 THEN '../evil.txt' ELSE 'notes.txt' END WHEN 4 THEN 'sub/' WHEN 5 THEN 'sub/edits.json'
-    WHEN 6 THEN CASE WHEN doc_id % 15 = 0 THEN '/abs.txt' ELSE 'stable_heading_map.json' END WHEN 7 THEN 'a\\b.txt' ELSE concat('x', CAST(pk AS STRING)) END member
+    WHEN 6 THEN CASE WHEN doc_id % 15 = 0 THEN '/abs.txt' ELSE 'stable_heading_map.json' END WHEN 7 THEN concat('a', chr(92), 'b.txt') ELSE concat('x', CAST(pk AS STRING)) END member
   FROM fx_lines) m""",
     "fx_manifests": """
 SELECT concat('bundle-', CAST(doc_id AS STRING)) path, role, CASE WHEN role = 'docx' THEN CASE doc_id % 4 WHEN 0 THEN 'source.docx' WHEN 1 THEN '../source.docx' WHEN 2 THEN 'absent.docx' ELSE 'source.docx' END

@@ -275,3 +275,8 @@ query("resolve_styles", """WITH RECURSIVE base AS (SELECT * FROM fx_styles), ch
   FROM ch JOIN base b ON b.doc_id = ch.doc_id AND b.style_id = ch.nxt WHERE NOT list_contains(seen, ch.nxt))
 SELECT doc_id, style_id, array_to_string(arg_max(seen, len(seen)), '>') AS chain, arg_max_null(font_name, len(seen)) AS font_name, arg_max_null(font_size, len(seen)) AS font_size, arg_max_null(color, len(seen)) AS color FROM ch GROUP BY doc_id, style_id""")(
     lambda s: N.resolve_styles(s("fx_styles"), ["font_name", "font_size", "color"]).withColumn("chain", F.array_join("chain", ">")))
+
+query("permalink_flow", f"""WITH c AS (SELECT doc_id, ord, level, coalesce(nullif({X.slug(X.strip('text'))}, ''), 'heading') AS base, {X.sig('text')} AS signature FROM fx_headings WHERE text NOT LIKE 'Item%'),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) - 1 AS k FROM c)
+SELECT doc_id, signature, row_number() OVER (PARTITION BY doc_id, signature ORDER BY ord) AS nth, CASE WHEN k = 0 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS id FROM u WHERE signature <> ''""")(
+    lambda s: H.stable_map(H.assign_ids(H.number_headings(s("fx_headings").where("text NOT LIKE 'Item%'")))).drop("ord"))

@@ -73,7 +73,7 @@ TH = """SELECT o_orderkey doc_id, CASE o_orderkey % 4 WHEN 0 THEN '#abc' WHEN 1
   CASE WHEN o_orderkey % 5 > 0 THEN concat('1.', CAST(o_custkey % 50 AS STRING), CASE WHEN o_custkey % 7 = 0 THEN 'x' ELSE '' END) END line_height, CASE o_orderkey % 4 WHEN 0 THEN ' Left' WHEN 1 THEN 'auto' WHEN 2 THEN 'middle' END table_coln_align,
   CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' END table_header_bold, CASE o_orderkey % 3 WHEN 0 THEN 'Dashed' WHEN 1 THEN 'wavy' END table_border_style, CASE WHEN o_orderkey % 3 = 1 THEN 'Arial;}x{, serif,' END font_family, CASE WHEN o_orderkey % 2 = 1 THEN 'My Theme!' END theme_id FROM orders"""
 query("coerce_theme_settings", rf"""SELECT doc_id, CASE WHEN primary_color = 'red' OR primary_color IS NULL THEN '#8d0a0a' WHEN primary_color = '#abc' THEN '#AABBCC' ELSE '#A1B2C3' END AS primary_color,
-  coalesce(floor(least(72, greatest(8, try_cast(base_font_size AS DOUBLE)))), 16.0) AS base_font_size, coalesce(least(3.0::DOUBLE, greatest(1.0::DOUBLE, try_cast(line_height AS DOUBLE))), 1.6::DOUBLE) AS line_height,
+  CASE WHEN try_cast(base_font_size AS DOUBLE) IS NULL THEN 16.0 ELSE floor(least(72, greatest(8, try_cast(base_font_size AS DOUBLE)))) END AS base_font_size, CASE WHEN try_cast(line_height AS DOUBLE) IS NULL THEN 1.6::DOUBLE ELSE least(3.0::DOUBLE, greatest(1.0::DOUBLE, try_cast(line_height AS DOUBLE))) END AS line_height,
   CASE WHEN lower(trim(table_coln_align)) = 'left' THEN 'left' END AS table_coln_align, CASE WHEN lower(trim(table_coln_align)) = 'left' THEN 'left' END AS table_col2_align, coalesce(lower(table_header_bold) = 'yes', false) AS table_header_bold,
   CASE WHEN lower(table_border_style) = 'dashed' THEN 'dashed' ELSE 'solid' END AS table_border_style, CASE WHEN font_family IS NULL THEN 'system-ui, -apple-system, sans-serif' ELSE 'Arialx, serif' END AS font_family,
   CASE WHEN theme_id IS NULL THEN 'manual' ELSE 'mytheme' END AS theme_id, CASE WHEN table_coln_align = 'middle' THEN 'Ignored invalid table alignment for table_coln_align.' ELSE '' END AS warnings FROM ({TH}) z""")(

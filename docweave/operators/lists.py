@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import durable
+from .binding import bind
 from .scan import last_value, running_sum, scan
 
 
@@ -82,11 +84,13 @@ def list_styles(lists: DataFrame) -> DataFrame:
     """Marker style of every ordered list: its own class, type or inline style; else that
     of the list before it at the same depth; else the kind after its parent's.
 
-    Resolved one nesting depth at a time (a handful of passes), each pass an ordered scan.
+    Resolved one nesting depth at a time (a handful of passes), each pass an ordered scan
+    whose result is written once and read by the next depth.
     lists(doc_id, list_idx, parent_list_idx, depth, type, classes, style)
     """
-    ranks = list_kind_order(lists)
-    df = lists.withColumn("own", _info(own_list_style(F.col("classes"), F.col("type"), F.col("style"))))
+    ranks = durable(list_kind_order(lists))
+    df = bind(lists, {"_style": own_list_style(F.col("classes"), F.col("type"), F.col("style"))})
+    df = durable(bind(df, {"own": _info(F.col("_style"))}).drop("_style"))
     top = df.agg(F.max("depth")).first()[0]
     done, parents = None, None
     for d in range((top if top is not None else -1) + 1):
@@ -106,14 +110,15 @@ def list_styles(lists: DataFrame) -> DataFrame:
         cur = scan(cur, ["doc_id"], ["list_idx"], {"_n": running_sum(F.when(F.col("derived").isNotNull(), 1).otherwise(0))})
         cur = scan(cur, ["doc_id"], ["list_idx"], {"_first": last_value(
             F.when(F.col("derived").isNotNull() & (F.col("_n") == 1), F.col("derived")))})
-        info = F.coalesce("_own", "_first")
+        cur = bind(cur, {"info": F.coalesce("_own", "_first")})
+        info = F.col("info")
         # A parent is later read by its class: an explicit type attribute decides the class it got.
         cls_style = F.when(info.isNotNull(), own_list_style(
             F.array_union(F.col("classes"), F.array(L.list_class(F.when(
                 F.coalesce("type", F.lit("")) != "", F.col("type")).otherwise(_type_of(info))))),
             F.col("type"), F.lit(""))).otherwise(own_list_style(F.col("classes"), F.col("type"), F.lit("")))
-        cur = cur.withColumns({"info": info, "shown": _info(cls_style)}).select(
-            *[c for c in lists.columns], "info", "shown")
+        cur = bind(bind(cur, {"_cls": cls_style}), {"shown": _info(F.col("_cls"))})
+        cur = durable(cur.select(*lists.columns, "info", "shown"))
         parents = cur
         done = cur if done is None else done.unionByName(cur)
     if done is None:

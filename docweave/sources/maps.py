@@ -95,7 +95,7 @@ def read_bundles(parts: DataFrame) -> dict[str, DataFrame]:
     The map file of a bundle is preferred over the copy in its manifest."""
     from ..functions.fixed import EDIT_KINDS
 
-    p = parts.withColumn("raw", F.decode("content", F.lit("UTF-8")))
+    p = parts.withColumn("raw", F.decode("content", "UTF-8"))
     man = p.where("part = 'manifest.json'").withColumn("m", _object(F.col("raw")))
     g = lambda k: F.try_element_at("m", F.lit(k))
     files = _object(g("files"))
