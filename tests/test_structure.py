@@ -92,7 +92,7 @@ def test_match_references(spark):
 
 
 def test_extraction_guards(spark):
-    text = "x1.2.3 no, 42.52.040 yes, Ph.D no, Section II.F.6 and See M.S.N."
+    text = "q1.2.3 no, 42.52.040 yes, Ph.D no, Section II.F.6 and See M.S.N."
     df = spark.createDataFrame([(1, 0, text)], "doc_id long, block_idx int, text string")
     rows = R.extract_references(df).orderBy("start").collect()
     assert [r.label for r in rows] == ["42.52.040", "Section II.F.6"]
