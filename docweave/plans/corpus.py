@@ -94,9 +94,11 @@ def reimport_revision(old_docs: DataFrame, new_docs: DataFrame, parts: DataFrame
     anchors are compared. docs(doc_id, content); parts and refs of the new documents."""
     clean, refused = audit.quarantine_tracked_changes(new_docs, parts)
     before = old_docs.select("doc_id", L.content_hash("content").alias("_a"))
-    same = (clean.select("doc_id", L.content_hash("content").alias("_b")).join(before, "doc_id")
-            .where("_a = _b").select("doc_id"))
-    changed = clean.select("doc_id").join(same, "doc_id", "left_anti")
+    # One written row per document; every later step reads this small table.
+    state = durable(clean.select("doc_id", L.content_hash("content").alias("_b")).join(before, "doc_id", "left")
+                    .select("doc_id", (F.col("_a") == F.col("_b")).alias("same")))
+    same = state.where("same").select("doc_id")
+    changed = state.where("NOT coalesce(same, false)").select("doc_id")
     kept = E.reattach_edits(refs.join(same, "doc_id", "left_semi"), edits.join(same, "doc_id", "left_semi"), trust_exact=True)
     moved = E.reattach_edits(refs.join(changed, "doc_id", "left_semi"), edits.join(changed, "doc_id", "left_semi"))
     return {"refused": refused, "edits": kept.unionByName(moved), "anchors": H.permalink_stability(old_map, new_map)}
