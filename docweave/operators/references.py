@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import labels as L
 from ..functions import urls as U
+from ..session import durable
 from .binding import bind
 from .paragraphs import likely_level
 
@@ -178,15 +179,17 @@ def resolve_anchors(decisions: DataFrame, index: DataFrame, crosswalk: DataFrame
     table = _lookup_table(index, hid, ("key", F.col("key")), ("full", F.col("full")),
                           ("norm", L.fulltext_key("full")), ("norm", L.fulltext_key("text")),
                           ("title", F.lower(L.strip("text"))), ("id", hid))
-    items = []
-    for i, name in enumerate(("target", "cross", "display")):
+    names = ("target", "cross", "display")
+    d, index = durable(d), durable(index)
+    items, probe_rows = [], bind(d, {f"_s_{n}": L.strip_label_prefix(F.col(n)) for n in names})
+    for i, name in enumerate(names):
         c = F.col(name)
-        stripped = F.nullif(L.strip_label_prefix(c), c)
+        stripped = F.nullif(F.col(f"_s_{name}"), c)
         items += [(10 * i, "key", c), (10 * i + 1, "full", c), (10 * i + 1, "norm", L.fulltext_key(c)),
                   (10 * i + 2, "full", stripped), (10 * i + 2, "norm", L.fulltext_key(stripped)),
                   (10 * i + 3, "title", F.lower(stripped)),
-                  (100 + 2 * i, "id", L.heading_slug(c)), (101 + 2 * i, "id", L.heading_slug(L.strip_label_prefix(c)))]
-    found = _lookup(_probes(d, group, items), table, group)
+                  (100 + 2 * i, "id", L.heading_slug(c)), (101 + 2 * i, "id", L.heading_slug(F.col(f"_s_{name}")))]
+    found = _lookup(_probes(probe_rows, group, items), table, group)
     return d.join(found.withColumnRenamed("answer", "anchor"), group, "left")
 
 
