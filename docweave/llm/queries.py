@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import table
 from .quality_rules import quality_rules
+from .secrets_scan import digest, secret_spans
+from .simhash import near_duplicates
 from .warc import round_trip
 
 QUERIES: dict = {}
@@ -30,6 +32,16 @@ def op1(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages")).drop("archive", "offset")
 
 
+@query("op2_simhash_trie")
+def op2(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_risk_rules")
 def op9(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_secret_randomness")
+def op10(spark, sf_dir):
+    return digest(secret_spans(table(spark, sf_dir, "documents")))
