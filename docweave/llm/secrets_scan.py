@@ -29,9 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
-# Letters of running text per thousand, a to z; other credential characters inside a text run.
+# Letters of running text per thousand, a to z; other credential characters inside a text run; the share of
+# capitals inside a run of both cases.
 LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
-DIGIT, OTHER = 8, 8
+DIGIT, OTHER, CAPITALS = 8, 8, 0.05
 #: Limit of the sum of three squared scores: chi-squared with 3 degrees of freedom, upper share 0.001.
 BATTERY = 16.27
 #: Evidence is counted in quarters of a bit, up to this many.
@@ -39,30 +40,41 @@ BINS = 511
 _SPANS = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fields(**cols: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in cols.items()])
+
+
 def spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """Leftmost non-overlapping matches as (start, kind, stop, text) in code points. Matches are fenced, the text is split at the
     fences, and one pass adds up the lengths; the pass works in blocks, so that its cost stays near the number of matches."""
-    fenced = F.regexp_replace(text, f"({pattern})", "\x01$1\x02")
-    parts = F.split(fenced, "\x01")
     inside = lambda p: F.substring_index(p, "\x02", 1)
-    # Gap before each match, and the match itself.
-    gaps = F.transform(parts, lambda p, i: F.when(i == 0, F.length(p)).otherwise(F.length(p) - F.length(inside(p)) - 1))
-    size = F.size(parts) - 1
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+    fenced = F.regexp_replace(text, f"({pattern})", "\x01$1\x02")
 
-    def block(state: Column, first: Column) -> Column:
-        def add(inner: Column, i: Column) -> Column:
-            found = inside(F.element_at(parts, i + 1))
-            start = inner["at"] + F.element_at(gaps, i)
-            one = F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), (start + F.length(found)).cast("int").alias("stop"), found.alias("text"))
-            return F.struct((start + F.length(found)).cast("int").alias("at"), F.when(keep(found), F.concat(inner["got"], F.array(one))).otherwise(inner["got"]).alias("got"))
+    def walk(parts: Column) -> Column:
+        size = F.size(parts) - 1
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
 
-        last = F.least(first + step - 1, size)
-        done = F.aggregate(F.sequence(first, last), F.struct(state["at"].alias("at"), F.array().cast(_SPANS).alias("got")), add)
-        return F.struct(done["at"].alias("at"), F.concat(state["got"], F.array(done["got"])).alias("got"))
+        def add(state: Column, i: Column) -> Column:
+            # The part in front of a match ends in the text between it and the match before.
+            before, found = F.get(parts, i - 1), inside(F.get(parts, i))
+            gap = F.when(i == 1, F.length(before)).otherwise(F.length(before) - F.length(inside(before)) - 1)
+            start = state["at"] + gap
+            one = _fields(start=start, kind=F.lit(kind), stop=start + F.length(found), text=found)
+            return _fields(at=start + F.length(found), got=F.when(keep(found), F.concat(state["got"], F.array(one))).otherwise(state["got"]))
 
-    starts = F.when(size > 0, F.sequence(F.lit(1), size, step)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("got")), block, lambda s: s["got"]))
+        def block(state: Column, first: Column) -> Column:
+            done = F.aggregate(F.sequence(first, F.least(first + step - 1, size)), _fields(at=state["at"], got=F.array().cast(_SPANS)), add)
+            return let(done, lambda d: _fields(at=d["at"], got=F.concat(state["got"], F.array(d["got"]))))
+
+        starts = F.when(size > 0, F.sequence(F.lit(1), size, step)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(starts, _fields(at=F.lit(0), got=F.array().cast(f"array<{_SPANS}>")), block, lambda s: s["got"]))
+
+    return let(F.split(fenced, "\x01"), walk)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -73,15 +85,6 @@ def base_spans(text: Column) -> list[Column]:
             spans(text, HEX[:-1] + "{24,}", 2, lambda m: F.lit(True))]
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _fields(**cols: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in cols.items()])
-
-
 def alphabet(token: Column) -> Column:
     """Size of the inferred alphabet; 0 for decimal numbers and runs that no encoding explains."""
     has = token.rlike
@@ -97,9 +100,11 @@ def _symbol(char: Column, size: Column) -> Column:
     return F.when(size == 64, wide).when(code.between(48, 57), code - 48).when(size == 26, letter).otherwise(letter + 10).cast("double")
 
 
-def _surprise(char: Column) -> Column:
+def _surprise(char: Column, size: Column) -> Column:
+    """Bits of a character under the text model. Where both cases occur, text has few capitals."""
     letters = F.array(*[F.lit(float(x)) for x in LETTERS])
-    per_thousand = F.when(char.rlike("[A-Za-z]"), F.element_at(letters, F.ascii(F.lower(char)) - 96)).when(char.rlike("[0-9]"), F.lit(float(DIGIT))).otherwise(F.lit(float(OTHER)))
+    letter = F.element_at(letters, F.ascii(F.lower(char)) - 96)
+    per_thousand = F.when(char.rlike("[A-Z]") & (size == 64), letter * CAPITALS).when(char.rlike("[A-Za-z]"), letter).when(char.rlike("[0-9]"), F.lit(float(DIGIT))).otherwise(F.lit(float(OTHER)))
     return F.log2(1000.0 / per_thousand)
 
 
@@ -120,7 +125,7 @@ def tested(token: Column) -> Column:
             size=t["size"], n=t["n"], a=t["a"], squares=squares, ones=F.size(F.filter(v, lambda x: x >= t["a"] / 2)).cast("double"),
             changes=1.0 + F.size(F.filter(neighbours, lambda p: (p["x"] >= t["a"] / 2) != (p["y"] >= t["a"] / 2))),
             spread=F.aggregate(v, zero, lambda s, x: s + (x - m) * (x - m)), lagged=F.aggregate(neighbours, zero, lambda s, p: s + (p["x"] - m) * (p["y"] - m)),
-            surprise=F.aggregate(t["chars"], zero, lambda s, c: s + _surprise(c))))
+            surprise=F.aggregate(t["chars"], zero, lambda s, c: s + _surprise(c, t["size"]))))
 
     def scores(t: Column) -> Column:
         n, a = t["n"], t["a"]
@@ -129,9 +134,7 @@ def tested(token: Column) -> Column:
         var = pairs * (pairs - n) / (n * n * (n - 1))
         runs = F.when(var > 0, (t["changes"] - pairs / n - 1) / F.sqrt(F.when(var > 0, var))).otherwise(F.lit(99.0))
         serial = F.when(t["spread"] > 0, (t["lagged"] / F.when(t["spread"] > 0, t["spread"]) + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-        # Both cases of a letter count as one symbol here: capitals are no evidence by themselves.
-        even = F.log2(F.when(t["size"] == 64, F.lit(38.0)).otherwise(a))
-        return _fields(size=t["size"], chi2=chi2, runs=runs, serial=serial, bits=t["surprise"] - n * even)
+        return _fields(size=t["size"], chi2=chi2, runs=runs, serial=serial, bits=t["surprise"] - n * F.log2(a))
 
     def verdict(t: Column) -> Column:
         total = F.pow(F.greatest(t["chi2"], zero), F.lit(2.0)) + t["runs"] * t["runs"] + t["serial"] * t["serial"]
