@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import table
+from .line_dedup import without_boilerplate
+from .packing import pack
 from .quality_rules import quality_rules
 from .secrets_scan import digest, secret_spans
 from .simhash import near_duplicates
@@ -37,6 +39,26 @@ def op2(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_line_spread", r"""
+WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, coalesce('s' || source, '-') AS site, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS pos FROM d),
+n AS (SELECT *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM l),
+w AS (SELECT *, regexp_matches(raw, '[^\x20\x09-\x0D]') AS has_word, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM n),
+s AS (SELECT norm FROM w WHERE has_word GROUP BY norm HAVING count(DISTINCT site) >= CASE WHEN max(n_words) >= 50 THEN 2 ELSE 3 END),
+r AS (SELECT w.*, s.norm IS NOT NULL AND row_number() OVER (PARTITION BY w.norm ORDER BY doc_id, pos) > 1 AS gone
+      FROM w LEFT JOIN s ON w.norm = s.norm AND w.has_word)
+SELECT doc_id, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id""")
+def op3(spark, sf_dir):
+    return without_boilerplate(table(spark, sf_dir, "documents"), "n_removed").select("doc_id", "n_removed", "text")
+
+
+@query("op4_length_buckets")
+def op4(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query("op9_risk_rules")
 def op9(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
