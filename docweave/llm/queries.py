@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from . import quality_knn, toxicity_fm
+from .common import crc_rest, table
+from .decontaminate import contaminated
+from .licenses import CUE, OTHER_TERM, TERM, document_paths, licences, template_weights
 from .line_dedup import without_boilerplate
 from .packing import pack
 from .quality_rules import quality_rules
@@ -59,6 +64,53 @@ def op4(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_knn")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    score = quality_knn.scorer(spark, quality_knn.learn(docs, table(spark, sf_dir, "labels"), crc_rest(3) != 1))
+    out = docs.select("doc_id", (crc_rest(3) == 1).alias("held_out"), score("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+_WEIGHTS = ", ".join(f"('{n}', '{t}', {w!r}::DOUBLE, {i!r}::DOUBLE)" for n, t, w, i in template_weights())
+
+
+@query("op6_license_scan", rf"""
+WITH w(license, term, weight, idf) AS (VALUES {_WEIGHTS}),
+f AS (SELECT doc_id, text, coalesce(regexp_matches(text, '{CUE}'), false) AS marked, source || '/' || (doc_id // 4096) AS up, doc_id // 64 AS leaf FROM documents),
+p AS (SELECT doc_id, text, marked, CASE WHEN marked AND leaf % 4 = 0 THEN up ELSE up || '/' || leaf END AS dir,
+             CASE WHEN marked THEN 'LICENSE-' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS name, up FROM f),
+g AS (SELECT doc_id, unnest(list_append(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')), text)) AS passage FROM p WHERE marked),
+n AS (SELECT doc_id, row_number() OVER () AS pid, regexp_extract_all(lower(passage), '{TERM}') AS terms FROM g),
+t AS (SELECT doc_id, pid, unnest(terms) AS term FROM n),
+i AS (SELECT term, max(idf) AS idf FROM w GROUP BY 1),
+c AS (SELECT doc_id, pid, t.term, count(*) * max(i.idf) AS own, count(*) AS k FROM t LEFT JOIN i ON t.term = i.term GROUP BY ALL),
+m AS (SELECT pid, sqrt(sum(CASE WHEN own IS NULL THEN k * {OTHER_TERM} * {OTHER_TERM} ELSE own * own END)) AS norm FROM c GROUP BY 1),
+s AS (SELECT doc_id, c.pid, license, CAST(round(1000 * sum(own * weight) / max(norm)) AS INTEGER) AS similarity
+      FROM c JOIN w ON c.term = w.term JOIN m ON m.pid = c.pid GROUP BY ALL),
+o AS (SELECT doc_id, min_by(license, (-similarity, license)) AS own_license, max(similarity) AS similarity FROM s WHERE similarity >= 500 GROUP BY 1),
+d AS (SELECT p.dir, min_by(own_license, (-o.similarity, own_license)) AS inherited FROM p JOIN o ON p.doc_id = o.doc_id GROUP BY 1)
+SELECT p.doc_id, p.dir || '/' || name AS path, own_license, o.similarity,
+       coalesce(own_license, d1.inherited, d2.inherited) AS license,
+       CASE WHEN own_license IS NULL THEN CASE WHEN d1.inherited IS NOT NULL THEN p.dir WHEN d2.inherited IS NOT NULL THEN p.up END END AS inherited_from
+FROM p LEFT JOIN o ON p.doc_id = o.doc_id LEFT JOIN d d1 ON d1.dir = p.dir LEFT JOIN d d2 ON d2.dir = p.up""")
+def op6(spark, sf_dir):
+    return licences(document_paths(table(spark, sf_dir, "documents")))
+
+
+@query("op7_toxicity_fm")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    score = toxicity_fm.scorer(spark, toxicity_fm.learn(docs, table(spark, sf_dir, "labels"), crc_rest(4) != 2))
+    out = docs.select("doc_id", (crc_rest(4) == 2).alias("held_out"), score("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op8_decontaminate")
+def op8(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_risk_rules")
 def op9(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

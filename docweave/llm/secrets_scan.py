@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import let, once
 
 # The three base patterns, in the order in which kinds are listed, with the length their match needs.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,11 +40,6 @@ BINS = 511
 _SPANS = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _fields(**cols: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in cols.items()])
 
