@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, words_of
+from .common import durable, fresh, words_of
 
 BITS, STEP = 64, 4
 #: Node pairs that a task holds at once, and size of a pair of ranges that is compared directly.
@@ -241,3 +241,66 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, leaf: int =
     smallest = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     ids = durable(rooted.join(smallest, "root").select("fp", "component_id"), "component-ids")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- one document of each group of near copies ---------------------------------------------------------------------------
+
+@F.pandas_udf("struct<node:string,low:long,high:long>")
+def _marks(text: pd.Series) -> pd.DataFrame:
+    """The text's words as one digest, and two independent fingerprints of its set of words."""
+    rows = []
+    for t in text:
+        words = [w.lower() for w in words_of(t)]
+        h = [xxhash.xxh3_128_digest(w, seed=42) for w in set(words)]
+        ones = np.zeros(128, dtype=np.int64)
+        for k in range(0, len(h), 1 << 15):
+            own = np.frombuffer(b"".join(h[k:k + (1 << 15)]), dtype=np.uint8).reshape(-1, 16)
+            ones += np.unpackbits(own, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        low, high = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist()
+        rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), low, high))
+    return pd.DataFrame(rows, columns=["node", "low", "high"])
+
+
+@F.pandas_udf("double")
+def shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of common five-word shingles among all of both texts; 1 for two texts without words."""
+    def one(x: str | None, y: str | None) -> float:
+        s, t = (set(shingles([w.lower() for w in words_of(z)], 5)) for z in (x, y))
+        return len(s & t) / len(s | t) if s or t else 1.0
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def drop_near_duplicates(docs: DataFrame, budget: int = 3, similarity: float = 0.8, leaf: int = 65_536) -> DataFrame:
+    """The rows of docs, all columns, of which each group of near copies keeps the one with the smallest doc_id.
+
+    Texts of the same words, in order, are one group. Other texts are linked if one of two fingerprints of their word sets differs
+    in at most ``budget`` bits and at least ``similarity`` of their five-word shingles are common; groups are the connected
+    components. Links come from the spanning forests of the trie joins and from each fingerprint's first text to its
+    others, so there are no more links than texts; each is verified on the whole texts.
+
+    Cases: null and empty texts are one group; of repeated rows one stays; a null id goes before all others only if its group has
+    no other; an empty table gives an empty table."""
+    key = fresh(docs, "_marks")
+    marked = durable(docs.select("doc_id", _marks("text").alias("m")).select("doc_id", "m.*"), "text-marks")
+    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("low").alias("low"), F.first("high").alias("high")), "texts")
+    links = None
+    for side in ("low", "high"):
+        hubs = durable(nodes.groupBy(F.col(side).alias("fp")).agg(F.min("node").alias("hub")), "hubs")
+        equal = nodes.join(hubs, F.col(side) == F.col("fp")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        near = trie_links(hubs, budget, leaf)
+        near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = equal.unionByName(near) if links is None else links.unionByName(equal).unionByName(near)
+    links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    wanted = durable(links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted")
+    # A text comes with its smallest id; the digest is taken again, as an id may have several texts.
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", _marks("text")["node"].alias("node"))
+    texts = durable(texts.join(wanted, ["node", "doc_id"]).groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    verified = pairs.select("a", "b", shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select("a", "b")
+    group = durable(components(verified), "text-groups")
+    rooted = durable(nodes.join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    stays = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "stays")
+    node, first = fresh(docs, "_node"), fresh(docs, "_first")
+    own = docs.withColumn(key, _marks("text")["node"])
+    kept = own.join(stays.toDF(node, first), (F.col(key) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([key, "doc_id"]).select(*docs.columns)
