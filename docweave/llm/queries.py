@@ -72,11 +72,11 @@ def op5(spark, sf_dir):
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-_WEIGHTS = ", ".join(f"('{n}', '{t}', {w!r}::DOUBLE, {i!r}::DOUBLE)" for n, t, w, i in template_weights())
+_WEIGHTS = ", ".join(f"({k}, '{n}', '{t}', {w!r}::DOUBLE, {i!r}::DOUBLE)" for k, n, t, w, i in template_weights())
 
 
 @query("op6_license_scan", rf"""
-WITH w(license, term, weight, idf) AS (VALUES {_WEIGHTS}),
+WITH w(template, license, term, weight, idf) AS (VALUES {_WEIGHTS}),
 f AS (SELECT doc_id, text, coalesce(regexp_matches(text, '{CUE}'), false) AS marked, source || '/' || (doc_id // 4096) AS up, doc_id // 64 AS leaf FROM documents),
 p AS (SELECT doc_id, text, marked, CASE WHEN marked AND leaf % 4 = 0 THEN up ELSE up || '/' || leaf END AS dir,
              CASE WHEN marked THEN 'LICENSE-' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS name, up FROM f),
@@ -86,7 +86,7 @@ t AS (SELECT doc_id, pid, unnest(terms) AS term FROM n),
 i AS (SELECT term, max(idf) AS idf FROM w GROUP BY 1),
 c AS (SELECT doc_id, pid, t.term, count(*) * max(i.idf) AS own, count(*) AS k FROM t LEFT JOIN i ON t.term = i.term GROUP BY ALL),
 m AS (SELECT pid, sqrt(sum(CASE WHEN own IS NULL THEN k * {OTHER_TERM} * {OTHER_TERM} ELSE own * own END)) AS norm FROM c GROUP BY 1),
-s AS (SELECT doc_id, c.pid, license, CAST(round(1000 * sum(own * weight) / max(norm)) AS INTEGER) AS similarity
+s AS (SELECT doc_id, c.pid, template, license, CAST(round(1000 * sum(own * weight) / max(norm)) AS INTEGER) AS similarity
       FROM c JOIN w ON c.term = w.term JOIN m ON m.pid = c.pid GROUP BY ALL),
 o AS (SELECT doc_id, min_by(license, (-similarity, license)) AS own_license, max(similarity) AS similarity FROM s WHERE similarity >= 500 GROUP BY 1),
 d AS (SELECT p.dir, min_by(own_license, (-o.similarity, own_license)) AS inherited FROM p JOIN o ON p.doc_id = o.doc_id GROUP BY 1)

@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, fresh, words_of
 
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, leaf: int =
 
 # ---- one document of each group of near copies ---------------------------------------------------------------------------
 
-@F.pandas_udf("struct<node:string,low:long,high:long>")
+@F.pandas_udf(T.StructType([T.StructField("node", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
 def _marks(text: pd.Series) -> pd.DataFrame:
     """The text's words as one digest, and two independent fingerprints of its set of words."""
     rows = []
@@ -261,7 +262,7 @@ def _marks(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "low", "high"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of common five-word shingles among all of both texts; 1 for two texts without words."""
     def one(x: str | None, y: str | None) -> float:
