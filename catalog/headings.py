@@ -198,11 +198,11 @@ SELECT doc_id, para_idx, plain OR mk OR (mat IS NOT NULL AND closed = 0 AND dr)
     lambda s: P.strip_toc_paragraphs(s("fx_paras")).select("doc_id", "para_idx", "removed"))
 RICH = f"(tag IN ('h2','h3','h4','h5','h6','table') OR (tag = 'p' AND length({X.strip('text')}) > 20))"
 query("strip_front_matter", f"""WITH a AS (SELECT *, last_value(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN regexp_matches(text, 'Table of Contents', 'i') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY child_idx) it FROM fx_children),
-b AS (SELECT doc_id, child_idx, tag, text, row_number() OVER (PARTITION BY doc_id ORDER BY child_idx) p FROM a WHERE NOT coalesce(it, false)),
-c AS (SELECT x.doc_id, x.child_idx, min(CASE WHEN {RICH.replace('tag', 'y.tag').replace('text', 'y.text')} THEN y.p END) hit, min(CASE WHEN y.tag = 'h1' THEN y.p END) st FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p + 1 AND x.p + 5
-  WHERE x.tag = 'h1' AND regexp_matches({X.strip('x.text')}, '^(?:Chapter|Section)\\s+', 'i') AND NOT (contains(x.text, chr(9)) OR (regexp_matches({X.strip('x.text')}, '\\s+\\d+\\s*$') AND length({X.strip('x.text')}) < 100)) GROUP BY 1, 2),
-d AS (SELECT doc_id, min(child_idx) s FROM c WHERE hit IS NOT NULL AND (st IS NULL OR hit < st) GROUP BY doc_id)
-SELECT b.doc_id, child_idx, tag, text FROM b LEFT JOIN d USING (doc_id) WHERE s IS NULL OR child_idx >= s""".replace("y.y.", "y."))(
+b AS (SELECT doc_id, child_idx, tag, text, row_number() OVER (PARTITION BY doc_id ORDER BY child_idx) p FROM a WHERE tag IS NOT NULL AND NOT coalesce(it, false)),
+c AS (SELECT *, min(CASE WHEN {RICH} THEN p END) OVER w hit, min(CASE WHEN tag = 'h1' THEN p END) OVER w st FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY child_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+d AS (SELECT doc_id, min(child_idx) s FROM c WHERE tag = 'h1' AND regexp_matches({X.strip('text')}, '^(?:Chapter|Section)\\s+', 'i') AND NOT (contains(text, chr(9)) OR (regexp_matches({X.strip('text')}, '\\s+\\d+\\s*$') AND length({X.strip('text')}) < 100))
+  AND hit IS NOT NULL AND (st IS NULL OR hit < st) GROUP BY doc_id)
+SELECT a.doc_id, child_idx, tag, text FROM a LEFT JOIN d USING (doc_id) WHERE tag IS NULL OR (NOT coalesce(it, false) AND (s IS NULL OR child_idx >= s))""")(
     lambda s: P.strip_front_matter(s("fx_children")))
 SLOT = f"CASE WHEN {X.style_level('style_name')} > 0 THEN 'heading' || {X.style_level('style_name')} WHEN style_name = 'Normal' THEN 'body' END"
 query("style_samples", f"""SELECT doc_id, slot, min(para_idx) AS para_idx, arg_min(sample, para_idx) AS sample FROM (SELECT doc_id, para_idx, {SLOT} AS slot, substr({X.strip('text')}, 1, 240) AS sample FROM fx_paras) z

@@ -23,7 +23,7 @@ query("extract_references", """SELECT c.doc_id, c.para_idx, c.label, c.start, c.
     lambda s: R.extract_references(blocks(s), s("fx_segs")).select("doc_id", "para_idx", "label", "start", "end", "is_linked"))
 query("linked_references", """SELECT doc_id, para_idx, label, start FROM fx_cites c WHERE EXISTS (SELECT 1 FROM fx_segs s WHERE s.doc_id = c.doc_id AND s.block_idx = c.para_idx AND s.in_link
   AND c.start < s."end" AND c."end" > s.start)""")(lambda s: R.linked_references(s("fx_cites"), s("fx_segs")).select("doc_id", "para_idx", "label", "start"))
-CITE = X.q(K.CITATION.replace("(?<!\\w)", "").replace("(?!\\w)", ""))
+CITE = X.q(K.CITATION.replace(r"(?<![\p{L}\p{N}_])", "").replace(r"(?![\p{L}\p{N}_])", ""))
 query("extract_references_documents", f"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {CITE}, 0, 'i')) AS l FROM fx_refs) x GROUP BY doc_id""")(
     lambda s: R.extract_references(blocks(s)).groupBy("doc_id").agg(F.count("*").alias("n")))
 query("citations_in_documents")(lambda s: R.extract_references(s("documents").select("doc_id", F.lit(0).alias("block_idx"), "text")))

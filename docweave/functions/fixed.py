@@ -20,7 +20,7 @@ SECTION_TYPES = ("section", "policy")
 # Citation and label patterns.
 CITATION_LABELLED = r"(?:Section|Chapter)\s+[\dIVXLCDM]+(?:\.[A-Za-z\d]+)+"
 CITATION_BARE = r"[\dIVXLCDM]+(?:\.[A-Za-z\d]+){2,}"
-CITATION = CITATION_LABELLED + r"|(?<!\w)" + CITATION_BARE + r"(?!\w)"
+CITATION = CITATION_LABELLED + r"|(?<![\p{L}\p{N}_])" + CITATION_BARE + r"(?![\p{L}\p{N}_])"
 DEGREES = (
     r"D\.?V\.?M", r"D\.?N\.?P", r"D\.?M\.?D", r"Ed\.?D", r"Ph\.?D", r"M\.?S\.?N",
     r"M\.?P\.?H", r"M\.?B\.?A", r"M\.?Ed", r"M\.?S", r"M\.?A", r"B\.?S", r"B\.?A",
@@ -52,7 +52,7 @@ HEADING_INFER = (
 LABEL_BODY = r"^[\dIVXLCDM]+(?:\.[A-Za-z\d]+)*\s*(?:[-:.–—]\s*)?"
 SLUG_LABEL = r"^(?:Chapter|Section)\s+[\dIVXLCDM]+(?:\.[A-Za-z\d]+)*\s*(?:--|[-:.])\s*"
 SLUG_DOTTED = r"^(?:[A-Z0-9]+(?:\.[A-Z0-9]+)+|[A-Z0-9]+\.)\s+"
-FULL_HEADING = r"^(Chapter|Section)\s+([\d\w.]+)\s*[-:–—.]\s*(.+)"
+FULL_HEADING = r"^(Chapter|Section)\s+([\d\p{L}\p{N}_.]+)\s*[-:–—.]\s*(.+)"
 PARTIAL_HEADING = r"^((?:[0-9]+|[IVXLCDM]{1,10}|[A-Z])(?:\.[A-Z0-9]+)*\.?)[\s\t]+(.+)"
 SUB_NUMBER = r"^([A-Z\d]+)[\.\s]+(.+)"
 NOT_A_NUMBER = ("IN", "TO", "OR", "AS", "AT", "BY", "OF", "ON", "THE", "FOR", "AND")
@@ -60,26 +60,26 @@ ALREADY_NUMBERED = r"^(?:Chapter|Section)\s+[\d.]+"
 ALREADY_DECIMAL = r"^\d+(?:\.\d+)*\s+"
 CITATION_WORDS = ("RCW", "WAC", "BPPM")
 NUMBER_PREFIX = (
-    r"^(?:Chapter|Section)\s+[\w\dIVXLCDM]+",
+    r"^(?:Chapter|Section)\s+[\p{L}\p{N}_\dIVXLCDM]+",
     r"^(?:[IVXLCDM]+|[A-Z]|\d+)(?:\.[A-Z\d]+)*[.)]\s+",
     r"^(?:[IVXLCDM]+|[A-Z]|\d+)(?:\.[A-Za-z\d]+){1,5}\S",
 )
 LOOKS_NUMBERED = (
-    (r"^(?:Chapter|Section)\s+[\w\dIVXLCDM]+", True),
+    (r"^(?:Chapter|Section)\s+[\p{L}\p{N}_\dIVXLCDM]+", True),
     (r"^\d+(?:\.\d+)+\s+", False),
     (r"^[IVXLCDM]+\.[A-Z0-9]+", True),
     (r"^[A-Z]\.\s+", False),
 )
-_AFTER_NUMBER = r"(?:(?:\s*[:\-–—]\s*)|\s+|\.\s+)\w"
+_AFTER_NUMBER = r"(?:(?:\s*[:\-–—]\s*)|\s+|\.\s+)[\p{L}\p{N}_]"
 GUESS_LEVEL = (
     (r"^Section\s+[IVXLCDM]+" + _AFTER_NUMBER, 1),
     (r"^Section\s+\d+" + _AFTER_NUMBER, 1),
     (r"^Chapter\s+(?:" + SPELLED_12_ALT + r"|\d+|[IVXLCDM]+)" + _AFTER_NUMBER, 1),
-    (r"^[IVXLCDM]+\.[A-Z]\.\s+\w", 2),
-    (r"^[IVXLCDM]+\.[A-Z]\.\d+(?:\.\d+){0,2}\s+\w", 3),
-    (r"^\d+\.\d+\.\d+(?:\.\d+)*\s+\w", 3),
-    (r"^\d+\.\d+\s+\w", 2),
-    (r"^[A-Z]\.\s+\w", 3),
+    (r"^[IVXLCDM]+\.[A-Z]\.\s+[\p{L}\p{N}_]", 2),
+    (r"^[IVXLCDM]+\.[A-Z]\.\d+(?:\.\d+){0,2}\s+[\p{L}\p{N}_]", 3),
+    (r"^\d+\.\d+\.\d+(?:\.\d+)*\s+[\p{L}\p{N}_]", 3),
+    (r"^\d+\.\d+\s+[\p{L}\p{N}_]", 2),
+    (r"^[A-Z]\.\s+[\p{L}\p{N}_]", 3),
 )
 LIST_ROMAN = (
     r"^\s*((?i:i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii|xiii|xiv|xv|xvi|xvii|xviii|xix|xx))[.)]\s+"
@@ -90,9 +90,9 @@ TOC_TITLE = r"Table of Contents"
 TOC_YEAR = r"^\d{4}(?:-\d{4})?$"
 TOC_COVER = r"^(?:Policies and Procedures|Faculty)\s+Manual$"
 TOC_CHAPTER = (
-    r"^Chapter\s+(?:" + SPELLED_12_ALT + r"|\d+|[IVXLCDM]+)\s+[-–—]\s+\w",
-    r"^Section\s+[IVXLCDM]+\s+[-–—]\s+\w",
-    r"^Section\s+\d+\s+[-–—]\s+\w",
+    r"^Chapter\s+(?:" + SPELLED_12_ALT + r"|\d+|[IVXLCDM]+)\s+[-–—]\s+[\p{L}\p{N}_]",
+    r"^Section\s+[IVXLCDM]+\s+[-–—]\s+[\p{L}\p{N}_]",
+    r"^Section\s+\d+\s+[-–—]\s+[\p{L}\p{N}_]",
 )
 BARE_HOST = (
     r"^(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?::\d{1,5})?(?:[/?#]\S*)?$"

@@ -372,8 +372,13 @@ def looks_numbered_heading(c) -> Column:
     return reduce(lambda a, b: a | b, [has(s, p, i) for p, i in K.LOOKS_NUMBERED])
 
 
+def guarded_pattern(label) -> Column:
+    """Pattern of a label that stands on its own, not as part of a longer label; white space in it may vary."""
+    body = F.regexp_replace(F.regexp_replace(collapse_ws(label), r"([\\^$.|?*+()\[\]{}\-])", r"\\$1"), " ", r"\\s+")
+    return F.concat(F.lit(IU + r"(?<![\w.])"), body, F.lit(r"(?![.\-‐‑–—]?\w)"))
+
+
 def contains_label(text, label) -> Column:
     """Label stands in the text on its own, not as part of a longer label."""
-    body = F.regexp_replace(F.regexp_replace(collapse_ws(label), r"([\\^$.|?*+()\[\]{}\-])", r"\\$1"), " ", r"\\s+")
-    pat = F.concat(F.lit(IU + r"(?<![\w.])"), body, F.lit(r"(?![.\-‐‑–—]?\w)"))
+    pat = guarded_pattern(label)
     return F.regexp_like(collapse_ws(text), pat) & (collapse_ws(label) != "")

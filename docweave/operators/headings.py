@@ -290,8 +290,9 @@ def heading_picklist(index: DataFrame) -> DataFrame:
 
 
 def table_of_contents(headings: DataFrame, depth: int = 2, offset: int = 0, manual_type: str = "chapter",
-                      numbering_mode: str = "css-counters") -> DataFrame:
-    """Contents entries: chapter ordinal, parent chapter and displayed text."""
+                      numbering_mode: str = "css-counters", leading_entries: bool = False) -> DataFrame:
+    """Contents entries: chapter ordinal, parent chapter and displayed text. leading_entries: keep entries in front of the first
+    level-1 heading, as the generated list does; the list built in a page leaves them out."""
     eff = F.greatest(F.lit(1), F.least(F.lit(6), F.col("level") - offset))
     df = headings.withColumns({"eff_level": eff, "title": L.strip("text")}).where(F.col("eff_level") <= depth)
     first = headings.where("level = 1").groupBy("doc_id").agg(F.min_by("text", "ord").alias("_h1"))
@@ -306,7 +307,7 @@ def table_of_contents(headings: DataFrame, depth: int = 2, offset: int = 0, manu
                 | L.has(t, r"^\d+\.?\s") | L.has(t, r"^[IVXLCDM]+\.?\s"))
     shown = F.when((F.col("eff_level") == 1) & F.lit(numbering_mode == "css-counters") & ~labelled,
                    F.concat(label, F.lit(" "), F.col("chapter_no").cast("string"), F.lit(". "), t)).otherwise(t)
-    return df.where((F.col("eff_level") == 1) | F.col("chapter_ord").isNotNull()).select(
+    return df.where(F.lit(leading_entries) | (F.col("eff_level") == 1) | F.col("chapter_ord").isNotNull()).select(
         "doc_id", "ord", "eff_level", F.col("chapter_no").cast("long").alias("chapter_no"), "chapter_ord",
         shown.alias("display"))
 

@@ -342,11 +342,6 @@ def split_anchor_repair(segments: DataFrame, refs: DataFrame, heading_ids: DataF
     return best.select("doc_id", "block_idx", "label", "m.seg_idx", "m.href", "m.moved", "m.tail")
 
 
-def guarded_pattern(label) -> Column:
-    body = F.regexp_replace(F.regexp_replace(L.collapse_ws(label), r"([\\^$.|?*+()\[\]{}\-])", r"\\$1"), " ", r"\\s+")
-    return F.concat(F.lit(L.IU + r"(?<![\w.])"), body, F.lit(r"(?![.\-‐‑–—]?\w)"))
-
-
 def place_links(decisions: DataFrame, segments: DataFrame, skip_linked: bool = False) -> DataFrame:
     """Placement of each decided reference: segment and offsets of its Nth occurrence.
 
@@ -357,7 +352,7 @@ def place_links(decisions: DataFrame, segments: DataFrame, skip_linked: bool = F
     labels = d.select("doc_id", "block_idx", "label").distinct()
     hits = (segments.join(labels, ["doc_id", "block_idx"]).select(
         "doc_id", "block_idx", "seg_idx", "in_link", "text", "label", F.inline(
-            F.transform(find_all("text", guarded_pattern("label")),
+            F.transform(find_all("text", L.guarded_pattern("label")),
                         lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))))
     w = Window.partitionBy("doc_id", "block_idx", "label").orderBy("seg_idx", "start")
     hits = hits.withColumn("occurrence", (F.row_number().over(w) - 1).cast("int"))

@@ -58,7 +58,7 @@ def sort_crosswalk(cw: DataFrame, order: DataFrame | None = None) -> DataFrame:
         cw = cw.join(order.select("doc_id", F.col("label").alias("old_ref"), F.col("ord").alias("_o")), ["doc_id", "old_ref"], "left")
     else:
         cw = cw.withColumn("_o", F.col("ord"))
-    return cw.orderBy("doc_id", L.heading_sort_key("old_ref"), F.coalesce("_o", F.lit(10 ** 6)), "old_ref").drop("_o")
+    return cw.orderBy("doc_id", L.heading_sort_key("old_ref"), F.col("_o").asc_nulls_last(), "old_ref").drop("_o")
 
 
 def auto_match_status(refs: DataFrame, index: DataFrame, crosswalk: DataFrame, keep_old: bool = False) -> DataFrame:

@@ -41,8 +41,7 @@ def convert_corpus(pages: DataFrame, settings: Settings | None = None, stable: D
     """
     cfg = settings or Settings()
     nodes = durable(S.drop_nodes(S.html_nodes(pages)))
-    heads = S.html_headings(nodes).where("text <> ''")
-    heads = heads.where(~L.has("text", r"Table of Contents", True))
+    heads = S.html_headings(nodes).where(~L.has("text", r"Table of Contents", True))
     if cfg.infer_depth:
         heads = H.infer_levels(heads, cfg.style_map or None).withColumn("level", F.col("new_level")).drop("new_level")
     if not cfg.preserve_numbers:
@@ -61,7 +60,7 @@ def convert_corpus(pages: DataFrame, settings: Settings | None = None, stable: D
     crosswalk = R.match_references(refs, index, cfg.manual_type)
     live = R.live_ids(heads, nodes.where("kind = 'tag' AND attrs['id'] IS NOT NULL AND NOT tag RLIKE '^h[1-6]$'").select(
         "doc_id", F.col("attrs")["id"].alias("id")))
-    out = {"headings": numbered, "toc": H.table_of_contents(heads, cfg.toc_depth, manual_type=cfg.manual_type),
+    out = {"headings": numbered, "toc": H.table_of_contents(heads, cfg.toc_depth, manual_type=cfg.manual_type, leading_entries=True),
            "links": links, "cells": cells, "lists": Li.list_styles(S.html_lists(nodes)), "references": refs,
            "crosswalk": crosswalk, "dead_links": R.dead_links(links, live), "stable_map": H.stable_map(heads)}
     if edits is not None:
@@ -79,7 +78,7 @@ def import_pages(pages: DataFrame, keep_old: bool = False) -> dict[str, DataFram
     heads = _inside(S.html_headings(nodes), roots, "pos").join(
         roots.select("doc_id", F.coalesce("heading_offset", F.lit(0)).alias("_off"), F.col("manual_type").alias("_mt")), "doc_id")
     heads = heads.withColumn("level", F.greatest(F.lit(1), F.least(F.lit(6), F.col("level") - F.col("_off")))).drop("_off", "_mt")
-    heads = H.assign_ids(heads.where("text <> ''"), keep_existing=True)
+    heads = H.assign_ids(heads, keep_existing=True)
     segments = S.html_segments(_inside(nodes, roots, "node_idx"))
     refs = R.extract_references(S.html_blocks(nodes, segments), segments)
     index = H.heading_keys(heads.select("doc_id", "ord", "level", "text", "id"))
@@ -91,7 +90,8 @@ def reimport_revision(old_docs: DataFrame, new_docs: DataFrame, parts: DataFrame
                       old_map: DataFrame, new_map: DataFrame) -> dict[str, DataFrame]:
     """A revised document replaces its source: pending changes are refused, saved edits are
     re-attached (ids are trusted only for documents whose content hash is unchanged), and
-    anchors are compared. docs(doc_id, content); parts and refs of the new documents."""
+    anchors are compared. docs(doc_id, content); parts and refs of the new documents. Edits of documents that are refused or not part
+    of the revision are in ``untouched_edits``, with the reason."""
     clean, refused = audit.quarantine_tracked_changes(new_docs, parts)
     before = old_docs.select("doc_id", L.content_hash("content").alias("_a"))
     # One written row per document; every later step reads this small table.
@@ -101,4 +101,8 @@ def reimport_revision(old_docs: DataFrame, new_docs: DataFrame, parts: DataFrame
     changed = state.where("NOT coalesce(same, false)").select("doc_id")
     kept = E.reattach_edits(refs.join(same, "doc_id", "left_semi"), edits.join(same, "doc_id", "left_semi"), trust_exact=True)
     moved = E.reattach_edits(refs.join(changed, "doc_id", "left_semi"), edits.join(changed, "doc_id", "left_semi"))
-    return {"refused": refused, "edits": kept.unionByName(moved), "anchors": H.permalink_stability(old_map, new_map)}
+    # Edits of refused documents and of documents that are not in the revision come back as they were.
+    rest = edits.join(state, "doc_id", "left_anti").join(refused.select("doc_id").distinct().withColumn("_refused", F.lit(True)), "doc_id", "left")
+    rest = rest.withColumn("status", F.when(F.col("_refused"), "refused").otherwise("absent")).drop("_refused")
+    done = kept.unionByName(moved, allowMissingColumns=True)
+    return {"refused": refused, "edits": done, "untouched_edits": rest, "anchors": H.permalink_stability(old_map, new_map)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -44,25 +45,32 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 
 def archive_parts(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """(doc_id, part, content): the known parts of every archive; an unreadable archive, or
-    one beyond the size limits, yields no rows. ``doc_id`` is the path."""
+    """(doc_id, part, content): the wanted members of every archive, whatever its size. ``doc_id`` is the path.
+
+    Wanted are the named parts, nested Word files, and every member that the archive's manifest names. An archive that cannot be
+    read gives one row with a null part and the reason as content, so that it does not vanish; limits are reported by ``archive_audit``.
+    """
     import pandas as pd
 
+    def named(archive):
+        """Members that a bundle's manifest lists under its files."""
+        try:
+            listed = json.loads(archive.read("manifest.json")).get("files") or {}
+            return {v for v in listed.values() if isinstance(v, str)}
+        except (KeyError, ValueError, AttributeError):
+            return set()
+
     def unzip(batches):
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        infos = [i for i in z.infolist() if not i.filename.endswith("/")]
-                        if len(infos) > K.MAX_ARCHIVE_FILES or sum(i.file_size for i in infos) > K.MAX_ARCHIVE_BYTES:
-                            continue
-                        for i in infos:
-                            if i.filename in parts or i.filename.endswith(".docx") or i.filename.endswith("edits.json"):
-                                rows.append((path, i.filename, z.read(i)))
-                except (zipfile.BadZipFile, OSError, KeyError, RuntimeError):
-                    rows = []
-                yield pd.DataFrame(rows, columns=["doc_id", "part", "content"])
+                        wanted = named(z) | set(parts)
+                        for i in z.infolist():
+                            if not i.is_dir() and (i.filename in wanted or i.filename.endswith((".docx", "edits.json"))):
+                                yield pd.DataFrame([(path, i.filename, z.read(i))], columns=["doc_id", "part", "content"])
+                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as broken:
+                    yield pd.DataFrame([(path, None, str(broken).encode())], columns=["doc_id", "part", "content"])
 
     return files.mapInPandas(unzip, "doc_id string, part string, content binary")
 
@@ -244,25 +252,33 @@ def docx_cells(parts: DataFrame) -> DataFrame:
                   "table_idx int, row_idx int, cell_idx int, tag string, in_thead boolean, colspan int, rowspan int, text string, scope string")
 
 
-def _marked(el):
-    out = []
-    for child in el:
-        tag = child.tag.rsplit("}", 1)[-1]
-        if tag == "ins":
-            out.append(f"[[NEW: {_marked(child)}]]")
-        elif tag == "del":
-            out.append("[[OLD: " + "".join(t.text or "" for t in child.iter(_W + "delText")) + "]]")
-        elif tag in ("t", "delText"):
-            out.append(child.text or "")
-        else:
-            out.append(_marked(child))
-    return "".join(out)
+_BRACKETS = {"ins": "[[NEW: ", "del": "[[OLD: "}
+
+
+def _change_text(paragraph):
+    """Text of a paragraph in document order. The walk keeps a list of what is still to come; the end of a change waits there as
+    plain text. Inside a deletion only deleted text counts."""
+    pieces, ahead = [], [(False, child) for child in reversed(paragraph)]
+    while ahead:
+        deleted, item = ahead.pop()
+        if isinstance(item, str):
+            pieces.append(item)
+            continue
+        name = item.tag.rpartition("}")[2]
+        if name == "delText" or (name == "t" and not deleted):
+            pieces.append(item.text or "")
+            continue
+        if name in _BRACKETS and not deleted:
+            pieces.append(_BRACKETS[name])
+            ahead.append((False, "]]"))
+        ahead.extend((deleted or name == "del", child) for child in reversed(item))
+    return "".join(pieces)
 
 
 def tracked_change_text(parts: DataFrame) -> DataFrame:
     """Paragraphs with pending changes, shown as [[NEW: ...]] and [[OLD: ...]]."""
     def rows(root):
-        return [(i, _marked(p)) for i, p in enumerate(_body_paragraphs(root))
+        return [(i, _change_text(p)) for i, p in enumerate(_body_paragraphs(root))
                 if next(p.iter(_W + "ins"), None) is not None or next(p.iter(_W + "del"), None) is not None]
 
     return _parse(parts, "word/document.xml", rows, ["para_idx", "text"], "para_idx int, text string")

@@ -21,6 +21,10 @@ _INNER = frozenset((*K.BLOCK_TAGS, *_HEADINGS, "a", "th", "caption"))
 _SPACED = frozenset(("td", "th", "caption"))
 
 
+#: Node rows that leave the parser together; a page is never split.
+BATCH_ROWS = 20_000
+
+
 class _Reader(HTMLParser):
     """Open-element stack of one page; rows come out in document order."""
 
@@ -109,14 +113,16 @@ def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html")
 
     def parse(batches):
         for pdf in batches:
+            held = []
             for key, html in zip(pdf["doc_id"], pdf["html"]):
                 reader = _Reader()
                 reader.feed(html or "")
-                rows = reader.finish()
-                if rows:
-                    out = pd.DataFrame([[r[n] for n in names] for r in rows], columns=names, dtype=object)
-                    out.insert(0, "doc_id", key)
-                    yield out
+                held += [[key, *(r[n] for n in names)] for r in reader.finish()]
+                if len(held) >= BATCH_ROWS:
+                    yield pd.DataFrame(held, columns=["doc_id", *names], dtype=object)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["doc_id", *names], dtype=object)
 
     id_type = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"))
@@ -162,10 +168,6 @@ def html_links(nodes: DataFrame) -> DataFrame:
                     L.strip("inner").alias("text")).select("doc_id", "node_idx", F.col("b.ord").alias("block_idx"), "href", "text")
 
 
-def _last(tag):
-    return F.element_at(F.filter("path", lambda p: p["tag"] == tag), -1)
-
-
 def html_cells(nodes: DataFrame) -> DataFrame:
     """Cells of every table; a cell of a nested table belongs to each table around it."""
     c = nodes.where("tag IN ('td', 'th')").withColumns({
@@ -195,7 +197,7 @@ def _has_class(name):
 
 
 def manual_roots(nodes: DataFrame) -> DataFrame:
-    """Content root of every page (grid content, then div or main "manual", then body) with
+    """Content root of every page (grid content, then div or main "manual", then body, then the whole page) with
     the settings the grid carries; the type falls back to the first h1."""
     tags = nodes.where("kind = 'tag'")
     manual = F.col("tag").isin("div", "main") & _has_class("manual")
@@ -206,8 +208,12 @@ def manual_roots(nodes: DataFrame) -> DataFrame:
     inside = (F.col("node_idx") > F.col("g.node_idx")) & (F.col("node_idx") <= F.col("g.end_idx"))
     rank = (F.when(manual & (F.col("tag") == "div"), 1).when(manual, 2).otherwise(3))
     c = c.where(F.col("g").isNull() | (inside & manual))
-    root = c.groupBy("doc_id").agg(F.min_by(F.struct("node_idx", "end_idx", "tag"), F.struct(rank, "node_idx")).alias("r"),
-                                   F.first("g").alias("g"))
+    found = c.groupBy("doc_id").agg(F.min_by(F.struct("node_idx", "end_idx", "tag"), F.struct(rank, "node_idx")).alias("r"),
+                                    F.first("g").alias("g"))
+    # A page without container and body, such as a bare fragment, is its own root.
+    whole = nodes.groupBy("doc_id").agg(F.struct(F.lit(-1).alias("node_idx"), F.max("node_idx").alias("end_idx"), F.lit(None).cast("string").alias("tag")).alias("_all"))
+    root = whole.join(found, "doc_id", "left").join(g.withColumnRenamed("g", "_grid"), "doc_id", "left").where(F.col("r").isNotNull() | F.col("_grid").isNull()).select(
+        "doc_id", F.coalesce("r", "_all").alias("r"), "g")
     h1 = nodes.where("tag = 'h1'").join(root.select("doc_id", F.col("r.node_idx").alias("_a"), F.col("r.end_idx").alias("_b")), "doc_id")
     h1 = h1.where("node_idx >= _a AND node_idx <= _b").groupBy("doc_id").agg(F.min_by("inner", "node_idx").alias("_h1"))
     a = lambda n: F.col("g.attrs")[n]

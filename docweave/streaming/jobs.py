@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import labels as L
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, durable
 
 EDIT_EVENTS = "ref_id long, kind string, value string, ts timestamp, seq long"
 
@@ -79,18 +79,24 @@ def changed_documents(docs: DataFrame, state: DataFrame) -> DataFrame:
     return d.join(state.select("doc_id", "doc_hash", "config_hash"), ["doc_id", "doc_hash", "config_hash"], "left_anti")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def stream_ingest(spark: SparkSession, docs: DataFrame, folder: str, process) -> None:
     """Process only new or changed documents of a stream. ``process(df)`` returns the rows
     to store. State and results of a batch are written under the batch id."""
     state_path = f"{folder}/hashes"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        try:
+        if _exists(spark, state_path):
             seen = spark.read.parquet(state_path).where(F.col("batch") != batch_id)
-        except Exception:  # first batch: nothing recorded yet
+        else:  # first batch: nothing recorded yet
             seen = spark.createDataFrame([], f"doc_id {batch.schema['doc_id'].dataType.simpleString()}, doc_hash string, config_hash string, batch long")
         latest = seen.groupBy("doc_id").agg(F.max_by(F.struct("doc_hash", "config_hash"), "batch").alias("s")).select("doc_id", "s.*")
-        todo = changed_documents(batch, latest)
+        # Read twice below, so it is settled once; of two versions in one batch both are handled.
+        todo = durable(changed_documents(batch, latest))
         process(todo).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
         todo.select("doc_id", "doc_hash", "config_hash").write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
