@@ -11,7 +11,6 @@ summary side, one row per chunk.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +52,10 @@ def running_max(value, inclusive: bool = True) -> Spec:
     return Spec("max", value, None, inclusive)
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    return F.size(name) if df.schema[name].dataType.typeName() == "map" else F.col(name)
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec],
          chunk: Column | None = None, descending: bool = False) -> DataFrame:
     """Add one column per spec. ``order[0]`` must be an integer position unless ``chunk``
@@ -66,7 +69,19 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec
     specs = {n: replace(s, value=F.col(f"_v_{n}"), reset=None if s.reset is None else F.col(f"_w_{n}"))
              for n, s in specs.items()}
     ordering = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
+    # One exchange feeds the rows and the summary. Null keys are marked apart, so that plain equality joins them back.
+    marks = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        zero = F.lit("") if kind.typeName() in ("string", "binary") else F.lit(0)
+        marks |= {f"_k{i}": F.coalesce(F.col(k), zero.cast(kind)), f"_n{i}": F.col(k).isNull()}
+    df = df.withColumns(marks)
+    group, part = list(marks), [*marks, "_chunk"]
+    # The optimizer may not push this filter, which always holds, below the exchange; as it reads every column, both sides keep
+    # the same ones and share the exchange.
+    held = F.when(F.rand(0) < 2, F.xxhash64(*[_hashable(df, c) for c in df.columns])) >= F.lit(-(1 << 63)).cast("long")
+    df = df.repartition(*part).where(held)
+    w = Window.partitionBy(*part).orderBy(*ordering)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     frame = lambda s: upto if s.inclusive else before
@@ -93,10 +108,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec
         rows = rows.withColumns(second)
     # Tail of a chunk = its total minus the cumulated value at its last reset.
     tails = [F.max(F.col(f"_b_{n}")).alias(f"_t_{n}") for n, s in specs.items() if s.kind == "since"]
-    base = rows if tails else df
-    chunks = base.groupBy(*keys, "_chunk").agg(*summary, *tails)
+    chunks = (rows if tails else df).groupBy(*part).agg(*summary, *tails)
 
-    cw = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc() if descending else F.col("_chunk").asc())
+    cw = Window.partitionBy(*group).orderBy(F.col("_chunk").desc() if descending else F.col("_chunk").asc())
     prior = cw.rowsBetween(Window.unboundedPreceding, -1)
     carry, carry2 = {}, {}
     for name, s in specs.items():
@@ -120,10 +134,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Spec
             keep.append(F.col(f"_c_{name}"))
     # Only chunks that follow another one carry anything.
     first = F.row_number().over(cw) > 1
-    chunks = chunks.withColumn("_later", first).where("_later").select(*keys, "_chunk", *keep)
+    chunks = chunks.withColumn("_later", first).where("_later").select(*part, *keep)
 
-    cond = reduce(lambda a, b: a & b, [F.col(f"_x.{k}").eqNullSafe(F.col(f"_y.{k}")) for k in [*keys, "_chunk"]])
-    out = rows.alias("_x").join(chunks.alias("_y"), cond, "left").select(
+    out = rows.alias("_x").join(chunks.alias("_y"), [F.col(f"_x.{c}") == F.col(f"_y.{c}") for c in part], "left").select(
         "_x.*", *[F.col(f"_y._c_{n}").alias(f"_c_{n}") for n in specs])
     final = {}
     for name, s in specs.items():
