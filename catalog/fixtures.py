@@ -75,9 +75,10 @@ SELECT doc_id, para_idx, concat('As required by ', label, ', see also ', label,
 FROM (SELECT doc_id, pos para_idx, concat(CASE WHEN pk % 2 = 0 THEN 'Section' ELSE 'Chapter' END, ' ', {ROMAN}, '.', {LETTER}, '.', {C}) label
       FROM fx_lines) q""",
     "fx_cites": """
-SELECT doc_id, para_idx, text para_text, label, CAST(15 AS INT) start, CAST(15 + length(label) AS INT) "end" FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, text, label, CAST(26 + length(label) AS INT), CAST(26 + 2 * length(label) AS INT) FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, text, '42.52.040', CAST(35 + 2 * length(label) AS INT), CAST(44 + 2 * length(label) AS INT) FROM fx_refs""",
+SELECT doc_id, para_idx, text para_text, CASE WHEN i = 2 THEN '42.52.040' ELSE label END label,
+       CAST(CASE i WHEN 0 THEN 15 WHEN 1 THEN 26 + length(label) ELSE 35 + 2 * length(label) END AS INT) start,
+       CAST(CASE i WHEN 0 THEN 15 + length(label) WHEN 1 THEN 26 + 2 * length(label) ELSE 44 + 2 * length(label) END AS INT) "end"
+FROM fx_refs CROSS JOIN (VALUES (0, 0), (1, 0), (2, 0)) v(i, z)""",
     "fx_edits": """
 SELECT doc_id, concat('ref_', CAST(para_idx + doc_id % 4 AS STRING), '_15_', substr(md5(label), 1, 8)) ref_id,
        'reference_external_urls' kind, concat('https://x.example/', CAST(para_idx AS STRING)) value
@@ -115,20 +116,19 @@ UNION ALL SELECT page_id, concat('mailto:', regexp_replace(url, '^https?://', ''
 UNION ALL SELECT page_id, concat(' #x', CAST(page_id AS STRING)) FROM pages WHERE page_id % 9 = 0
 UNION ALL SELECT page_id, '' FROM pages WHERE page_id % 10 = 0""",
     "fx_segs": """
-SELECT doc_id, para_idx block_idx, 0 seg_idx, 'As required by ' text, false in_link, CAST(NULL AS STRING) href, 0 start, 15 "end" FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 1, label, para_idx % 2 = 0, CASE WHEN para_idx % 2 = 0 THEN concat('#h-', CAST(para_idx AS STRING)) END,
-  15, CAST(15 + length(label) AS INT) FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 2, concat(', see also ', label, ' and RCW '), false, NULL, CAST(15 + length(label) AS INT), CAST(35 + 2 * length(label) AS INT) FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 3, '42.52.040', true, 'https://app.example/rcw', CAST(35 + 2 * length(label) AS INT), CAST(44 + 2 * length(label) AS INT) FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 4, '.', false, NULL, CAST(44 + 2 * length(label) AS INT), CAST(45 + 2 * length(label) AS INT) FROM fx_refs""",
+SELECT doc_id, para_idx block_idx, i seg_idx, CASE i WHEN 0 THEN 'As required by ' WHEN 1 THEN label WHEN 2 THEN concat(', see also ', label, ' and RCW ') WHEN 3 THEN '42.52.040' ELSE '.' END text,
+       i = 3 OR (i = 1 AND para_idx % 2 = 0) in_link, CASE WHEN i = 3 THEN 'https://app.example/rcw' WHEN i = 1 AND para_idx % 2 = 0 THEN concat('#h-', CAST(para_idx AS STRING)) END href,
+       CAST(CASE i WHEN 0 THEN 0 WHEN 1 THEN 15 WHEN 2 THEN 15 + length(label) WHEN 3 THEN 35 + 2 * length(label) ELSE 44 + 2 * length(label) END AS INT) start,
+       CAST(CASE i WHEN 0 THEN 15 WHEN 1 THEN 15 + length(label) WHEN 2 THEN 35 + 2 * length(label) WHEN 3 THEN 44 + 2 * length(label) ELSE 45 + 2 * length(label) END AS INT) "end"
+FROM fx_refs CROSS JOIN (VALUES (0, 0), (1, 0), (2, 0), (3, 0), (4, 0)) v(i, z)""",
     "fx_split": """
-SELECT doc_id, para_idx block_idx, 0 seg_idx, 'See ' text, false in_link, CAST(NULL AS STRING) href FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 1, substr(label, 1, length(label) - 2), true,
-  CASE WHEN para_idx % 3 = 0 THEN 'https://o.example' ELSE concat('#h-', CAST(para_idx - para_idx % 2 AS STRING)) END FROM fx_refs
-UNION ALL SELECT doc_id, para_idx, 2, concat(substr(label, length(label) - 1), CASE WHEN para_idx % 5 = 0 THEN '.9 on' ELSE ' on.' END), false, NULL FROM fx_refs""",
+SELECT doc_id, para_idx block_idx, i seg_idx, CASE i WHEN 0 THEN 'See ' WHEN 1 THEN substr(label, 1, length(label) - 2)
+         ELSE concat(substr(label, length(label) - 1), CASE WHEN para_idx % 5 = 0 THEN '.9 on' ELSE ' on.' END) END text, i = 1 in_link,
+       CASE WHEN i = 1 THEN CASE WHEN para_idx % 3 = 0 THEN 'https://o.example' ELSE concat('#h-', CAST(para_idx - para_idx % 2 AS STRING)) END END href
+FROM fx_refs CROSS JOIN (VALUES (0, 0), (1, 0), (2, 0)) v(i, z)""",
     "fx_lists": f"""
 SELECT doc_id, pos list_idx, CASE WHEN (ln % 3 = 0 OR pos % 4096 = 1) THEN CAST(NULL AS INT) ELSE pos - 1 END parent_list_idx,
-       CASE sk % 6 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'i' WHEN 3 THEN 'A' WHEN 4 THEN '1' ELSE 'I' END type FROM fx_lines WHERE doc_id % 5 = 0 OR sk % 6 IN (0, 1, 4)""",
+       CASE sk % 6 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'i' WHEN 3 THEN 'A' WHEN 4 THEN '1' ELSE 'I' END type FROM fx_lines""",
     "fx_children": f"""
 SELECT doc_id, ord child_idx, CASE WHEN ord % 4096 = 0 THEN 'h1' WHEN ord % 9 = 0 THEN 'h2' WHEN ord % 7 = 0 THEN CAST(NULL AS STRING) ELSE 'p' END tag,
        CASE WHEN ord % 4096 = 0 THEN CASE WHEN ord % 5 = 0 THEN concat('Chapter ', CAST(ord % 30 AS STRING), ' Rules') ELSE text END
@@ -145,8 +145,8 @@ SELECT nation_id doc_id, style_id, based_on, font_name, font_size, color FROM (
     CASE WHEN c_custkey % 4 = 0 THEN concat('Font', CAST(c_custkey % 10 AS STRING)) END font_name,
     CASE WHEN c_custkey % 3 = 0 THEN CAST(8 + c_custkey % 20 AS DOUBLE) END font_size,
     CASE WHEN c_custkey % 5 = 0 THEN '#' || lpad(CAST(c_custkey % 1000 AS STRING), 6, '0') END color
-  FROM (SELECT c.c_nationkey, c.c_custkey, max(d.c_custkey) p FROM customer c LEFT JOIN customer d
-        ON d.c_nationkey = c.c_nationkey AND d.c_custkey < c.c_custkey AND d.c_custkey >= c.c_custkey - 60 GROUP BY c.c_nationkey, c.c_custkey) x) y""",
+  FROM (SELECT c.c_nationkey, c.c_custkey, max(d.c_custkey) p FROM (SELECT c_nationkey, c_custkey, explode(sequence(c_custkey - 60, c_custkey - 1)) AS near FROM customer) c
+        LEFT JOIN customer d ON d.c_nationkey = c.c_nationkey AND d.c_custkey = c.near GROUP BY c.c_nationkey, c.c_custkey) x) y""",
     "fx_style_uses": """
 SELECT CAST(c_nationkey AS BIGINT) doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'r' END kind,
        concat('s', CAST(o_custkey + o_orderkey % 3 AS STRING)) style_id FROM orders JOIN customer ON c_custkey = o_custkey""",
@@ -189,7 +189,7 @@ def with_fixtures(sql: str) -> str:
                     order.append(n)
 
     add(sql)
-    body = {n: (LINES.format(n=DUCK_N) if n == "fx_lines" else SQL[n]) for n in order}
+    body = {n: (LINES.format(n=DUCK_N) if n == "fx_lines" else duck_text(SQL[n])) for n in order}
     ctes = ", ".join(f"{n} AS ({body[n]})" for n in order)
     if not ctes:
         return sql
@@ -199,6 +199,10 @@ def with_fixtures(sql: str) -> str:
     return f"WITH {ctes}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {ctes} {sql}"
 
 
+def duck_text(sql: str) -> str:
+    return sql.replace("explode(sequence(c_custkey - 60, c_custkey - 1))", "unnest(range(c_custkey - 60, c_custkey))")
+
+
 def spark_text(sql: str) -> str:
     """Constant row expansion as LATERAL VIEW inline, and Spark's quoting of "end"."""
     def expand(m):

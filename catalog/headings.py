@@ -48,12 +48,22 @@ SELECT doc_id, signature, nth, a.id AS old_id, b.id AS new_id, CASE WHEN a.id IS
 FROM a FULL JOIN b USING (doc_id, signature, nth)""")(
     lambda s: H.permalink_stability(H.stable_map(s("fx_anchored_old")), H.stable_map(s("fx_anchored"))))
 
-query("assign_ids")(lambda s: H.assign_ids(s("fx_headings").withColumn("existing_id", F.lit(""))).select("doc_id", "ord", "base", "id"))
-PLAIN = "(SELECT doc_id, ord, text FROM fx_headings WHERE NOT regexp_matches(text, '^Item'))"
-query("assign_ids_plain", f"""SELECT doc_id, ord, base, CASE WHEN k = 0 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS id FROM (
-  SELECT doc_id, ord, base, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) - 1 AS k
-  FROM (SELECT doc_id, ord, coalesce(nullif({X.slug(X.strip('text'))}, ''), 'heading') AS base FROM fx_headings WHERE text NOT LIKE 'Item%') b) u""")(
-    lambda s: H.assign_ids(s("fx_headings").where("text NOT LIKE 'Item%'")).select("doc_id", "ord", "base", "id"))
+# Greedy ids: in document order a heading takes its slug, or the slug with the first free number. Headings meet only inside a
+# family, slugs that are equal but for numbers at the end, so the recursion runs over families.
+GREEDY = f"""h AS (SELECT *, regexp_replace(base, '(-[0-9]+)+$', '') AS fam, row_number() OVER (PARTITION BY doc_id, regexp_replace(base, '(-[0-9]+)+$', '') ORDER BY ord) AS n
+  FROM (SELECT doc_id, ord, text, coalesce(nullif({X.slug(X.strip('text'))}, ''), 'heading') AS base FROM fx_headings) z),
+g AS (SELECT doc_id, fam, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS INTEGER) AS ord, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS id
+  FROM (SELECT DISTINCT doc_id, fam FROM h) f
+  UNION ALL SELECT doc_id, fam, n, list_append(used, id), ord, base, text, id FROM (
+    SELECT g.doc_id, g.fam, h.n, used, h.ord, h.base, h.text, CASE WHEN NOT list_contains(used, h.base) THEN h.base
+      ELSE h.base || '-' || list_filter(range(1, len(used) + 2), lambda k: NOT list_contains(used, h.base || '-' || k))[1] END AS id
+    FROM g JOIN h ON g.doc_id = h.doc_id AND g.fam = h.fam AND h.n = g.n + 1) y)"""
+query("assign_ids", f"WITH RECURSIVE {GREEDY} SELECT doc_id, ord, base, id FROM g WHERE ord IS NOT NULL")(
+    lambda s: H.assign_ids(s("fx_headings").withColumn("existing_id", F.lit(""))).select("doc_id", "ord", "base", "id"))
+query("assign_ids_plain", f"""SELECT doc_id, ord, base, base || '-' || CAST(ord AS VARCHAR) AS id FROM (
+  SELECT doc_id, ord, coalesce(nullif({X.slug(X.strip('text'))}, ''), 'heading') AS base FROM (SELECT doc_id, ord, text || ' ' || CAST(ord AS VARCHAR) AS text FROM fx_headings) t) b""".replace(
+    "base || '-' || CAST(ord AS VARCHAR) AS id", "base AS id"))(
+    lambda s: H.assign_ids(s("fx_headings").withColumn("text", F.concat_ws(" ", "text", F.col("ord").cast("string")))).select("doc_id", "ord", "base", "id"))
 query("assign_ids_with_map")(lambda s: H.assign_ids(
     s("fx_numbered").select("doc_id", "ord", "text", "existing_id"), H.stable_map(s("fx_anchored_old")), keep_existing=True)
     .select("doc_id", "ord", "id_source", "base", "id"))
@@ -276,7 +286,6 @@ query("resolve_styles", """WITH RECURSIVE base AS (SELECT * FROM fx_styles), ch
 SELECT doc_id, style_id, array_to_string(arg_max(seen, len(seen)), '>') AS chain, arg_max_null(font_name, len(seen)) AS font_name, arg_max_null(font_size, len(seen)) AS font_size, arg_max_null(color, len(seen)) AS color FROM ch GROUP BY doc_id, style_id""")(
     lambda s: N.resolve_styles(s("fx_styles"), ["font_name", "font_size", "color"]).withColumn("chain", F.array_join("chain", ">")))
 
-query("permalink_flow", f"""WITH c AS (SELECT doc_id, ord, level, coalesce(nullif({X.slug(X.strip('text'))}, ''), 'heading') AS base, {X.sig('text')} AS signature FROM fx_headings WHERE text NOT LIKE 'Item%'),
-u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) - 1 AS k FROM c)
-SELECT doc_id, signature, row_number() OVER (PARTITION BY doc_id, signature ORDER BY ord) AS nth, CASE WHEN k = 0 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS id FROM u WHERE signature <> ''""")(
-    lambda s: H.stable_map(H.assign_ids(H.number_headings(s("fx_headings").where("text NOT LIKE 'Item%'")))).drop("ord"))
+query("permalink_flow", f"""WITH RECURSIVE {GREEDY}, c AS (SELECT doc_id, ord, id, {X.sig('text')} AS signature FROM g WHERE ord IS NOT NULL)
+SELECT doc_id, signature, row_number() OVER (PARTITION BY doc_id, signature ORDER BY ord) AS nth, id FROM c WHERE signature <> ''""")(
+    lambda s: H.stable_map(H.assign_ids(H.number_headings(s("fx_headings")))).drop("ord"))

@@ -54,8 +54,8 @@ KEYED = f"WITH keyed AS ({HK})"
 query("match_references", f"{KEYED}, {MATCH} SELECT * FROM cw")(
     lambda s: R.match_references(s("fx_cites"), keyed(s)).select("doc_id", "old_ref", "new_ref", "matched"))
 IDX = f"""idx AS (SELECT doc_id, key, min(ord) AS first_ord, max(ord) AS ord, arg_max(text, ord) AS text, arg_max("full", ord) AS "full" FROM keyed GROUP BY doc_id, key)"""
-TARGETS = f"SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN upper(text) WHEN ord % 3 = 1 THEN trim(text) ELSE concat(text, ' none') END target FROM fx_numbered WHERE ord % 7 = 0"
-query("find_heading_by_full", f"""{KEYED}, {IDX}, t AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN upper(text) WHEN ord % 3 = 1 THEN trim(text) ELSE concat(text, ' none') END target FROM fx_numbered WHERE ord % 7 = 0)
+TARGETS = f"SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN upper(text) WHEN ord % 3 = 1 THEN trim(text) ELSE concat(text, ' none') END target FROM fx_numbered"
+query("find_heading_by_full", f"""{KEYED}, {IDX}, t AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN upper(text) WHEN ord % 3 = 1 THEN trim(text) ELSE concat(text, ' none') END target FROM fx_numbered)
 SELECT t.doc_id, t.target, arg_min(idx.key, idx.ord) AS key FROM t LEFT JOIN idx ON idx.doc_id = t.doc_id AND (idx."full" = t.target OR ({X.fulltext('t.target')} <> '' AND ({X.fulltext('idx."full"')} = {X.fulltext('t.target')} OR {X.fulltext('idx.text')} = {X.fulltext('t.target')}))) GROUP BY t.doc_id, t.target""")(
     lambda s: R.find_heading_by_full(s.sql(TARGETS), index(s)))
 hmap = lambda s: P.extract_heading_map(s("fx_paras"))
@@ -87,9 +87,9 @@ SELECT d.doc_id, d.label, d.display, d.target, bt.anchor FROM d LEFT JOIN bt USI
     lambda s: R.resolve_anchors(s.sql(DEC), index(s).withColumn("id", L.scrape_slug("text")), R.match_references(s("fx_cites"), keyed(s)))
     .select("doc_id", "label", "display", "target", "anchor"))
 query("nearest_heading", """SELECT doc_id, block_idx, pos, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, b), 'Introduction') AS heading FROM (
-  SELECT doc_id, ord AS pos, 0 b, text h, NULL AS block_idx FROM fx_headings WHERE level <= 2 AND ord > 3 UNION ALL SELECT doc_id, para_idx, 1, NULL, CAST(para_idx AS BIGINT) FROM fx_refs) z QUALIFY b = 1""")(
+  SELECT doc_id, ord AS pos, 0 b, text h, NULL AS block_idx FROM fx_headings UNION ALL SELECT doc_id, para_idx, 1, NULL, CAST(para_idx AS BIGINT) FROM fx_refs) z QUALIFY b = 1""")(
     lambda s: R.nearest_heading(s("fx_refs").select("doc_id", F.col("para_idx").alias("pos"), F.col("para_idx").alias("block_idx")),
-                                s("fx_headings").where("level <= 2 AND ord > 3").withColumnRenamed("ord", "pos")))
+                                s("fx_headings").withColumnRenamed("ord", "pos")))
 query("live_ids", f"SELECT doc_id, id FROM fx_anchored UNION SELECT doc_id, unnest(['main-content', 'toc-heading', 'search-help']) FROM fx_docs")(
     lambda s: R.live_ids(s("fx_anchored")))
 LK = "SELECT doc_id, para_idx AS link_idx, CASE para_idx % 5 WHEN 0 THEN '#' WHEN 1 THEN '#toc-heading' ELSE concat('#h-', CAST(para_idx - para_idx % 3 AS STRING)) END href FROM fx_refs"
@@ -144,28 +144,28 @@ query("unmatched_labels", f"{KEYED}, {MATCH} SELECT label, count(*) AS n FROM fx
     lambda s: R.unmatched_labels(s("fx_cites"), R.match_references(s("fx_cites"), keyed(s))))
 
 # Edits
-first_only = lambda s: s("fx_cites").where("start = 15")
-PAIR = r"""cur AS (SELECT doc_id, para_idx para, start, substr(md5(label), 1, 8) h, 'ref_' || para_idx || '_' || start || '_' || substr(md5(label), 1, 8) id FROM fx_cites WHERE start = 15),
+all_cites = lambda s: s("fx_cites")
+PAIR = r"""cur AS (SELECT doc_id, para_idx para, start, substr(md5(label), 1, 8) h, 'ref_' || para_idx || '_' || start || '_' || substr(md5(label), 1, 8) id FROM fx_cites),
 sto AS (SELECT DISTINCT doc_id, ref_id, CAST(split_part(ref_id, '_', 2) AS BIGINT) para, CAST(split_part(ref_id, '_', 3) AS BIGINT) start, split_part(ref_id, '_', 4) h FROM fx_edits)"""
 REATT = """SELECT e.doc_id, e.ref_id, e.kind, e.value, CASE WHEN g.ok THEN c.id ELSE e.ref_id END AS new_ref_id, CASE WHEN NOT g.ok THEN 'orphaned' WHEN c.id = e.ref_id THEN 'kept' ELSE 'moved' END AS status
 FROM fx_edits e JOIN sn s ON s.doc_id = e.doc_id AND s.ref_id = e.ref_id JOIN g ON g.doc_id = e.doc_id AND g.h = s.h LEFT JOIN cn c ON c.doc_id = e.doc_id AND c.h = s.h AND c.n = s.n"""
 GRP = "g AS (SELECT a.doc_id, a.h, a.n = coalesce(b.n, 0) ok FROM (SELECT doc_id, h, count(*) n FROM {s} GROUP BY ALL) a LEFT JOIN (SELECT doc_id, h, count(*) n FROM {c} GROUP BY ALL) b USING (doc_id, h)), sn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY para, start) n FROM {s}), cn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY para, start) n FROM {c})"
-query("reattach_edits", f"WITH {PAIR}, {GRP.format(s='sto', c='cur')} {REATT}")(lambda s: E.reattach_edits(first_only(s), s("fx_edits")))
+query("reattach_edits", f"WITH {PAIR}, {GRP.format(s='sto', c='cur')} {REATT}")(lambda s: E.reattach_edits(all_cites(s), s("fx_edits")))
 query("reattach_edits_trusted", f"""WITH {PAIR}, s2 AS (SELECT * FROM sto WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.doc_id = sto.doc_id AND cur.id = sto.ref_id)), c2 AS (SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM sto WHERE cur.doc_id = sto.doc_id AND cur.id = sto.ref_id)),
 {GRP.format(s='s2', c='c2')} {REATT} UNION ALL SELECT e.doc_id, e.ref_id, e.kind, e.value, e.ref_id, 'kept' FROM fx_edits e WHERE EXISTS (SELECT 1 FROM cur WHERE cur.doc_id = e.doc_id AND cur.id = e.ref_id)""")(
-    lambda s: E.reattach_edits(first_only(s), s("fx_edits"), trust_exact=True))
+    lambda s: E.reattach_edits(all_cites(s), s("fx_edits"), trust_exact=True))
 query("reattach_summary", f"WITH {PAIR}, {GRP.format(s='sto', c='cur')}, r AS ({REATT}) SELECT doc_id, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'moved') AS moved, count(*) FILTER (status = 'orphaned') AS orphaned FROM r GROUP BY doc_id")(
-    lambda s: E.reattach_summary(E.reattach_edits(first_only(s), s("fx_edits"))))
+    lambda s: E.reattach_summary(E.reattach_edits(all_cites(s), s("fx_edits"))))
 query("review_status", """WITH r AS (SELECT doc_id, ref_id, max(CASE WHEN kind = 'reference_validations' THEN value = 'true' END) v, max(CASE WHEN kind = 'reference_ignored' THEN true END) i, max(CASE WHEN kind = 'reference_reviewed' THEN value = 'true' END) w FROM fx_decided GROUP BY ALL)
 SELECT doc_id, count(*) FILTER (v) AS valid, count(*) FILTER (i) AS skipped, count(*) FILTER (NOT v AND i IS NULL) AS not_link, count(*) FILTER (w) AS reviewed FROM r GROUP BY doc_id""")(
     lambda s: E.review_status(s("fx_decided")))
 query("edited_ids", f"SELECT doc_id, ref_id FROM fx_decided INTERSECT SELECT doc_id, ref_id FROM {first_cites} z")(lambda s: E.edited_ids(s("fx_decided"), s("fx_cites")))
 BL = "SELECT doc_id, para_idx block_idx, CASE WHEN para_idx % 3 = 0 THEN 'https://b.example' WHEN para_idx % 3 = 1 THEN 'ftp://c' ELSE 'http://a.example' END href FROM fx_refs WHERE para_idx % 2 = 0"
 DL = "SELECT doc_id, para_idx, para_idx % 2 link_idx, 'https://d.example' href, para_idx % 7 = 0 bad FROM fx_refs"
-query("prefill_external_url", f"""WITH r AS (SELECT * FROM {first_cites} q WHERE start = 15), b AS ({BL}), d AS ({DL})
+query("prefill_external_url", f"""WITH r AS (SELECT * FROM {first_cites} q), b AS ({BL}), d AS ({DL})
 SELECT r.doc_id, r.ref_id, r.para_idx, coalesce((SELECT max(value) FROM fx_decided f WHERE f.doc_id = r.doc_id AND f.ref_id = r.ref_id AND kind = 'reference_external_urls' AND value <> ''),
   (SELECT min(href) FROM b WHERE b.doc_id = r.doc_id AND b.block_idx = r.para_idx AND href LIKE 'http%'), (SELECT min(href) FROM d WHERE d.doc_id = r.doc_id AND d.para_idx = r.para_idx AND NOT bad), '') AS url FROM r""")(
-    lambda s: E.prefill_external_url(R.with_ref_ids(first_only(s)), s("fx_decided"), s.sql(BL), s.sql(DL)))
+    lambda s: E.prefill_external_url(R.with_ref_ids(all_cites(s)), s("fx_decided"), s.sql(BL), s.sql(DL)))
 
 # Crosswalk review
 PO = X.norm_ref(f"({X.prefixed('ref_key')})")

@@ -147,6 +147,5 @@ query("import_pages")(lambda s: C.import_pages(table_pages(s))["headings"].selec
 def _(s):
     old = s("fx_refs").groupBy("doc_id").agg(F.count("*").cast("string").alias("content"))
     new = old.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("revised"))
-    p = parts(s).where("doc_id % 4 <> 3")
-    return C.reimport_revision(old, new, p.where("doc_id % 5 = 0"), s("fx_cites").where("start = 15"), s("fx_edits"),
+    return C.reimport_revision(old, new, parts(s), s("fx_cites"), s("fx_edits"),
                                H.stable_map(s("fx_anchored_old")), H.stable_map(s("fx_anchored")))["edits"]
