@@ -25,9 +25,9 @@ query("html_segments")(lambda s: S.html_segments(nodes(s)).drop("raw", "node_idx
 query("html_blocks")(lambda s: S.html_blocks(nodes(s)))
 UNESC = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 query("html_headings", f"""SELECT page_id AS doc_id, 1 AS level, {X.strip(UNESC.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS text FROM pages WHERE contains(html, '<h1>')""")(
-    lambda s: S.html_headings(nodes(s)).select("doc_id", "level", "text"))
+    lambda s: S.html_headings(S.html_nodes(pages(s), tags=("h1", "h2", "h3", "h4", "h5", "h6"))).select("doc_id", "level", "text"))
 query("html_links", """SELECT page_id AS doc_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) z GROUP BY ALL""")(
-    lambda s: S.html_links(nodes(s)).groupBy("doc_id", "href").agg(F.countDistinct("node_idx").alias("n")))
+    lambda s: S.html_links(S.html_nodes(pages(s), tags=("a",))).groupBy("doc_id", "href").agg(F.countDistinct("node_idx").alias("n")))
 query("html_cells")(lambda s: S.html_cells(S.html_nodes(table_pages(s))))
 query("html_lists")(lambda s: S.html_lists(S.html_nodes(table_pages(s))))
 query("manual_roots", "SELECT page_id AS doc_id, 'body' AS root_tag, 'chapter' AS manual_type FROM pages WHERE contains(html, '<body')")(
@@ -36,7 +36,7 @@ query("drop_nodes", "SELECT page_id AS doc_id, 0::BIGINT AS raw_nodes FROM pages
     lambda s: S.drop_nodes(nodes(s)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "raw").alias("raw_nodes")))
 query("unwrap_inline")(lambda s: S.unwrap_inline(nodes(s)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth")))
 query("markup_audit")(lambda s: A.markup_audit(nodes(s)))
-query("external_links")(lambda s: R.external_links(S.html_links(nodes(s))))
+query("external_links")(lambda s: R.external_links(S.html_links(S.html_nodes(pages(s), tags=("a",)))))
 
 
 def table_pages(s):

@@ -28,8 +28,9 @@ BATCH_ROWS = 20_000
 class _Reader(HTMLParser):
     """Open-element stack of one page; rows come out in document order."""
 
-    def __init__(self):
+    def __init__(self, tags=None):
         super().__init__(convert_charrefs=True)
+        self.tags = tags
         self.rows, self.stack, self.texts, self.pending, self.ords = [], [], [], [], {}
 
     def _add(self, kind, tag, text, attrs):
@@ -39,9 +40,10 @@ class _Reader(HTMLParser):
         if group:
             self.ords[group] = ordinal + 1
         link = top["link_idx"] if top else None
+        full = self.tags is None or tag in self.tags
         row = {"node_idx": len(self.rows), "parent_idx": top["node_idx"] if top else None, "depth": len(self.stack),
                "end_idx": len(self.rows), "kind": kind, "tag": tag, "ord": ordinal, "text": text, "attrs": attrs,
-               "path": [{"idx": s["node_idx"], "tag": s["tag"], "ord": s["ord"]} for s in self.stack],
+               "path": [{"idx": s["node_idx"], "tag": s["tag"], "ord": s["ord"]} for s in self.stack] if full else None,
                "link_idx": link, "href": top["href"] if link is not None else None, "inner": None, "spaced": None,
                "_from": len(self.texts)}
         if kind == "tag" and tag == "a":
@@ -60,7 +62,7 @@ class _Reader(HTMLParser):
 
     def _close(self, row):
         row["end_idx"] = len(self.rows) - 1
-        if row["tag"] in _INNER:
+        if row["tag"] in _INNER and (self.tags is None or row["tag"] in self.tags):
             mine = self.texts[row["_from"]:]
             row["inner"] = "".join(mine)
             if row["tag"] in _SPACED:
@@ -100,22 +102,25 @@ class _Reader(HTMLParser):
         self.flush()
         while self.stack:
             self._close(self.stack.pop())
-        return self.rows
+        return self.rows if self.tags is None else [r for r in self.rows if r["tag"] in self.tags]
 
 
-def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
     """Tag, text and comment rows of every page with order, depth, parent and ancestors.
-    Unclosed tags stay open until an enclosing tag ends."""
+    Unclosed tags stay open until an enclosing tag ends. tags: only rows of these elements, with the numbers they have among all;
+    ancestors and inner text are then built for them alone."""
     import pandas as pd
 
     names = [f.split()[0] for f in
              "node_idx parent_idx depth end_idx kind tag ord text attrs path link_idx href inner spaced".split()]
 
+    wanted = None if tags is None else frozenset(tags)
+
     def parse(batches):
         for pdf in batches:
             held = []
             for key, html in zip(pdf["doc_id"], pdf["html"]):
-                reader = _Reader()
+                reader = _Reader(wanted)
                 reader.feed(html or "")
                 held += [[key, *(r[n] for n in names)] for r in reader.finish()]
                 if len(held) >= BATCH_ROWS:
