@@ -47,8 +47,8 @@ def archive_members(files: DataFrame) -> DataFrame:
 def archive_parts(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """(doc_id, part, content): the wanted members of every archive, whatever its size. ``doc_id`` is the path.
 
-    Wanted are the named parts, nested Word files, and every member that the archive's manifest names. An archive that cannot be
-    read gives one row with a null part and the reason as content, so that it does not vanish; limits are reported by ``archive_audit``.
+    Wanted are the named parts, nested Word files, and every member that the archive's manifest names. Limits are reported by
+    ``archive_audit``, archives that cannot be read by ``unreadable_archives``.
     """
     import pandas as pd
 
@@ -69,12 +69,35 @@ def archive_parts(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame
                         for i in z.infolist():
                             if not i.is_dir() and (i.filename in wanted or i.filename.endswith((".docx", "edits.json"))):
                                 yield pd.DataFrame([(path, i.filename, z.read(i))], columns=["doc_id", "part", "content"])
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as broken:
-                    yield pd.DataFrame([(path, None, str(broken).encode())], columns=["doc_id", "part", "content"])
+                except _UNREADABLE:
+                    continue
 
     return files.mapInPandas(unzip, "doc_id string, part string, content binary")
 
 
+_UNREADABLE = (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError)
+
+
+def unreadable_archives(files: DataFrame) -> DataFrame:
+    """(doc_id, reason) of every archive that ``archive_parts`` cannot read to its end."""
+    import pandas as pd
+
+    def test(batches):
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        broken = z.testzip()
+                    if broken:
+                        rows.append((path, f"damaged member {broken}"))
+                except _UNREADABLE as reason:
+                    rows.append((path, str(reason)))
+            yield pd.DataFrame(rows, columns=["doc_id", "reason"])
+
+    return files.mapInPandas(test, "doc_id string, reason string")
+
+
 def read_docx_parts(spark: SparkSession, path: str) -> DataFrame:
     return archive_parts(read_archives(spark, path))
 
