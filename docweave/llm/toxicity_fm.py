@@ -121,14 +121,14 @@ def fit(rows: list[np.ndarray], labels: list[int], factors: int = 4, epochs: int
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str = "toxic", bound: int = 4000, **options) -> Machine:
     """Machine fitted on the bounded sample; only places of terms come to the driver."""
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def places(text: pd.Series) -> pd.Series:
         cache: dict = {}
-        return pd.Series([terms_of(t, cache).astype(np.int32) for t in text], dtype=object)
+        return pd.Series([terms_of(t, cache).astype(np.int32).tobytes() for t in text], dtype=object)
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", places("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.array(r["terms"], dtype=np.int64) for r in rows], [int(r["label"]) for r in rows], **options)
+    return fit([np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in rows], [int(r["label"]) for r in rows], **options)
 
 
 def scorer(spark: SparkSession, machine: Machine):
