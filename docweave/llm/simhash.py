@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,62 +246,127 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, leaf: int =
 
 # ---- one document of each group of near copies ---------------------------------------------------------------------------
 
-@F.pandas_udf(T.StructType([T.StructField("node", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
-def _marks(text: pd.Series) -> pd.DataFrame:
-    """The text's words as one digest, and two independent fingerprints of its set of words."""
-    rows = []
-    for t in text:
-        words = [w.lower() for w in words_of(t)]
-        h = [xxhash.xxh3_128_digest(w, seed=42) for w in set(words)]
-        ones = np.zeros(128, dtype=np.int64)
-        for k in range(0, len(h), 1 << 15):
-            own = np.frombuffer(b"".join(h[k:k + (1 << 15)]), dtype=np.uint8).reshape(-1, 16)
-            ones += np.unpackbits(own, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        low, high = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist()
-        rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), low, high))
-    return pd.DataFrame(rows, columns=["node", "low", "high"])
+SHINGLE = 5
+#: A shingle that this many texts of the sample have is common; the sample is at least one text in ``SAMPLED``; at most ``COMMON`` are broadcast.
+COMMON_FROM, SAMPLED, COMMON = 3, 16, 200_000
+
+
+def _ranks(words: list[bytes]) -> np.ndarray:
+    """Distinct five-word shingles as sorted 62-bit hashes."""
+    parts = set(shingles(words, SHINGLE))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), dtype=np.uint64, count=len(parts)) >> np.uint64(2)).astype(np.int64)
+
+
+def _rest(n, similarity: float):
+    """How many of a text's n shingles come after its prefix. Two texts of this similarity share a shingle of both prefixes, whatever the
+    order of shingles is, as long as it is one order for all."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
+
+
+@F.pandas_udf(T.StringType())
+def _digest(text: pd.Series) -> pd.Series:
+    """The text's words as one digest."""
+    return pd.Series([xxhash.xxh3_128_hexdigest(b" ".join(w.lower() for w in words_of(t))) for t in text], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _all_ranks(text: pd.Series) -> pd.Series:
+    return pd.Series([_ranks([w.lower() for w in words_of(t)]) for t in text], dtype=object)
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have. They only decide the order of shingles, and so the work, never the result."""
+    rate = min(SAMPLED, max(1, docs.count() // 20_000))
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select(F.explode(_all_ranks("text")).alias("sh")).groupBy("sh").count()
+    rows = rows.where(F.col("count") >= (COMMON_FROM if rate == SAMPLED else max(COMMON_FROM, 16 // rate))).orderBy(F.col("count").desc(), "sh").limit(COMMON)
+    return np.array(sorted(r["sh"] for r in rows.select("sh").collect()), dtype=np.int64)
+
+
+def _prefixes(common: np.ndarray, similarity: float):
+    """Column function text -> digest, number of shingles, and prefix: the first shingles in the order of hashes, common ones last."""
+    @F.pandas_udf("node string, n long, prefix array<long>")
+    def of(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            words = [w.lower() for w in words_of(t)]
+            s = _ranks(words)
+            if len(common) and len(s):
+                hot = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                s = np.concatenate([s[~hot], s[hot] + (1 << 62)])
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(s), s[:len(s) - int(_rest(np.array(len(s)), similarity))] if len(s) else s))
+        return pd.DataFrame(rows, columns=["node", "n", "prefix"])
+    return of
 
 
 @F.pandas_udf(T.DoubleType())
 def shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of common five-word shingles among all of both texts; 1 for two texts without words."""
     def one(x: str | None, y: str | None) -> float:
-        s, t = (set(shingles([w.lower() for w in words_of(z)], 5)) for z in (x, y))
+        s, t = (set(shingles([w.lower() for w in words_of(z)], SHINGLE)) for z in (x, y))
         return len(s & t) / len(s | t) if s or t else 1.0
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def drop_near_duplicates(docs: DataFrame, budget: int = 3, similarity: float = 0.8, leaf: int = 65_536) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links (a, b) whose whole texts are alike."""
+    wanted = durable(links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted")
+    # A text comes with its smallest id; the digest is taken again, as an id may have several texts.
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("_first")).distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select(_digest("text").alias("node"), "text")
+    texts = durable(texts.join(wanted.select("node"), "node").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return durable(pairs.select("a", "b", shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select("a", "b"), "verified")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: one row per distinct text (node, first, n, prefix). Verified links (a, b) that connect whatever all pairs of this
+    similarity connect.
+
+    Each text is first compared with one other: of the texts that share a shingle of both prefixes, the most central is the shingle's hub, and a
+    text goes to the hub that it shares most with. Then every pair of a shared prefix shingle that these links leave apart is
+    counted, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the similarity."""
+    key = F.xxhash64("node")
+    rows = nodes.select(key.alias("key"), F.explode("prefix").alias("sh"))
+    shared = rows.withColumn("many", F.count("*").over(Window.partitionBy("sh"))).where("many > 1")
+    shared = durable(shared, "postings")
+    central = shared.groupBy("key").agg(F.sum("many").alias("total"))
+    info = nodes.where("n > 0").select(key.alias("key"), "node", "n", F.element_at("prefix", -1).alias("end")).join(central, "key").withColumn("central", F.col("total") / F.col("n"))
+    posted = durable(shared.join(info, "key").select("sh", "node", "n", "end", "central"), "posted")
+    hubs = posted.groupBy("sh").agg(F.max(F.struct("central", "node")).alias("hub")).select("sh", F.col("hub.node").alias("hub"))
+    stars = posted.join(hubs, "sh").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    stars = stars.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"), F.first("n").alias("n")).where((F.col("m.c") > 0.05 * F.col("n")))
+    first = _verified(docs, nodes, durable(stars.select(F.col("node").alias("a"), F.col("m.hub").alias("b")), "stars"), similarity)
+    group = durable(components(first), "star-groups")
+    placed = durable(posted.drop("central").join(group, "node", "left").select("sh", "node", "n", "end", F.coalesce("root", "node").alias("root")), "placed")
+    apart = placed.groupBy("sh").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sh")
+    left = durable(placed.join(apart, "sh", "left_semi"), "apart")
+    x, y = (left.select("sh", *[F.col(c).alias(c + s) for c in ("node", "n", "end", "root")]) for s in ("_x", "_y"))
+    alike = (F.col("n_x") >= similarity * F.col("n_y") - 1e-6) & (F.col("n_y") >= similarity * F.col("n_x") - 1e-6)
+    pairs = x.join(y, (x["sh"] == y["sh"]) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike)
+    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "end_x", "end_y").agg(F.count("*").alias("c"))
+    # Whatever is common and not counted comes after the prefix that ends first.
+    rest = F.ceil(similarity * F.when(F.col("end_x") <= F.col("end_y"), F.col("n_x")).otherwise(F.col("n_y")) - 1e-9) - 1
+    near = pairs.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+    second = _verified(docs, nodes, durable(near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), "candidates"), similarity)
+    return first.unionByName(second)
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, of which each group of near copies keeps the one with the smallest doc_id.
 
-    Texts of the same words, in order, are one group. Other texts are linked if one of two fingerprints of their word sets differs
-    in at most ``budget`` bits and at least ``similarity`` of their five-word shingles are common; groups are the connected
-    components. Links come from the spanning forests of the trie joins and from each fingerprint's first text to its
-    others, so there are no more links than texts; each is verified on the whole texts.
+    Texts of the same words, in order, are one group. Other texts are linked if at least ``similarity`` of their five-word shingles are
+    common; groups are the connected components. Candidates come from an exact prefix filter over the shingles, common ones last:
+    no pair of this similarity is missed. Pairs that verified links already connect are not compared again.
 
     Cases: null and empty texts are one group; of repeated rows one stays; a null id goes before all others only if its group has
     no other; an empty table gives an empty table."""
     key = fresh(docs, "_marks")
-    marked = durable(docs.select("doc_id", _marks("text").alias("m")).select("doc_id", "m.*"), "text-marks")
-    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("low").alias("low"), F.first("high").alias("high")), "texts")
-    links = None
-    for side in ("low", "high"):
-        hubs = durable(nodes.groupBy(F.col(side).alias("fp")).agg(F.min("node").alias("hub")), "hubs")
-        equal = nodes.join(hubs, F.col(side) == F.col("fp")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        near = trie_links(hubs, budget, leaf)
-        near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = equal.unionByName(near) if links is None else links.unionByName(equal).unionByName(near)
-    links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    wanted = durable(links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted")
-    # A text comes with its smallest id; the digest is taken again, as an id may have several texts.
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", _marks("text")["node"].alias("node"))
-    texts = durable(texts.join(wanted, ["node", "doc_id"]).groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
-    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    verified = pairs.select("a", "b", shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select("a", "b")
-    group = durable(components(verified), "text-groups")
-    rooted = durable(nodes.join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    prefixes = _prefixes(common_shingles(docs), similarity)
+    marked = docs.select("doc_id", prefixes("text").alias("m")).select("doc_id", "m.*")
+    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    group = durable(components(similar_links(docs, nodes, similarity)), "text-groups")
+    rooted = durable(nodes.select("node", "first").join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     stays = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "stays")
     node, first = fresh(docs, "_node"), fresh(docs, "_first")
-    own = docs.withColumn(key, _marks("text")["node"])
+    own = docs.withColumn(key, _digest("text"))
     kept = own.join(stays.toDF(node, first), (F.col(key) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(first)))
     return kept.dropDuplicates([key, "doc_id"]).select(*docs.columns)

@@ -178,6 +178,54 @@ def test_near_copies_leave_one(spark):
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def alike(x, y):
+    s, t = (set(S.shingles(z.encode().lower().split(), 5)) for z in (x, y))
+    return len(s & t) / len(s | t)
+
+
+def kept_by_all_pairs(texts):
+    """Smallest id of each group over all pairs of similarity 0.8 or more."""
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if alike(texts[i], texts[j]) >= 0.8:
+            p, q = top(i), top(j)
+            up[max(p, q)] = min(p, q)
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in S.drop_near_duplicates(docs).collect()}
+
+
+def test_star_groups_of_edited_copies(spark):
+    """Copies edited independently are alike to their original, not to each other."""
+    rng, texts = random.Random(11), []
+    for _ in range(3):
+        own = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        texts += [" ".join(rng.choice(own) if rng.random() < 1 / 80 else w for w in own) for _ in range(40)]
+        texts.append(" ".join(own))
+    want = kept_by_all_pairs(texts)
+    assert len(want) < 10 and kept(spark, texts) == want
+
+
+def test_shortened_and_lengthened_copies(spark):
+    """Copies that lack or add up to 15 % of the words are far apart as fingerprints, but alike."""
+    rng, texts = random.Random(12), []
+    for k in range(30):
+        own = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 500))]
+        cut = len(own) * (85 + k % 3 * 5) // 100
+        texts += [" ".join(own), " ".join(own[:cut]), " ".join(own[len(own) - cut:]), " ".join(own + [f"n{i}" for i in range(len(own) // 8)])]
+    want = kept_by_all_pairs(texts)
+    assert kept(spark, texts) == want and len(want) <= 35
+
+
 def test_pipeline_stages(spark):
     docs, kept = spark.read.parquet(f"{DATA}/documents.parquet"), []
     for name, stage in P.STAGES[:-1]:
