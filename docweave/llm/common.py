@@ -71,6 +71,12 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
             .groupBy("doc_id").agg(F.min("label").alias("label")))
 
 
+def sampling_rates(labels: DataFrame, column: str, learn: Column, bound: int) -> dict[int, float]:
+    """Which share of the learning rows of each of the labels 0 and 1 ``labelled_sample`` picks; 1 for a label without rows."""
+    counts = {r["label"]: r["count"] for r in one_label(labels, column).where(learn).where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    return {value: min(1.0, bound / counts[value]) if counts.get(value) else 1.0 for value in (0, 1)}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` rows of each of the labels 0 and 1, those with the smallest hash of their id.
     Only ids of at most ``2 * bound`` rows are broadcast, and ids that are repeated in ``docs`` count once."""

@@ -4,7 +4,8 @@ A text is a bag of two kinds of terms. Structure terms: the shapes of its words,
 repetition, its variety and length. Word terms: its words, hashed. Each kind has TF-IDF weights and unit length of its own. A
 singular value decomposition of the labelled sample gives the latent space; the sample's vectors, at most ``2 * bound`` rows of ``rank``
 numbers (a documented bound), are broadcast. For every document the exact cosine to all of them is computed as matrix products, block
-by block; the ``neighbours`` closest vote with their labels, weighted by similarity.
+by block; the ``neighbours`` closest vote with their labels, weighted by similarity and by how many labelled rows each stands for,
+as the bound may cut one label more than the other.
 
 Term weights are part of the fitted model and come from the sample. Cases: null and empty texts have their own structure terms
 and are scored like any other; without labelled rows every score is 0.5; repeated rows are scored one by one; very long
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, words_of
+from .common import labelled_sample, sampling_rates, words_of
 
 STRUCTURE, WORDS = 1 << 10, 1 << 12
 _CACHE = 400_000
@@ -81,10 +82,10 @@ def weigh(rows: list[dict[int, float]], idf: np.ndarray) -> np.ndarray:
 
 
 class Voters:
-    """idf, projection (terms x rank), unit vectors of the labelled rows and their labels."""
+    """idf, projection (terms x rank), unit vectors of the labelled rows, their labels, and the weights of votes for 0 and 1."""
 
-    def __init__(self, idf, projection, vectors, labels, neighbours: int):
-        self.idf, self.projection, self.vectors, self.labels, self.neighbours = idf, projection, vectors, labels, neighbours
+    def __init__(self, idf, projection, vectors, labels, neighbours: int, votes: tuple[float, float] = (1.0, 1.0)):
+        self.idf, self.projection, self.vectors, self.labels, self.neighbours, self.votes = idf, projection, vectors, labels, neighbours, votes
 
     def score(self, rows: list[dict[int, float]]) -> np.ndarray:
         if not len(self.labels):
@@ -94,9 +95,10 @@ class Voters:
         alike = own @ self.vectors.T
         k = min(self.neighbours, alike.shape[1])
         at = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-        near = np.maximum(np.take_along_axis(alike, at, axis=1), 0.0) ** 4
+        votes = np.where(self.labels > 0, self.votes[1], self.votes[0])
+        near = np.maximum(np.take_along_axis(alike, at, axis=1), 0.0) ** 4 * votes[at]
         total = near.sum(axis=1)
-        return np.where(total > 0, (near * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1), self.labels.mean())
+        return np.where(total > 0, (near * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1), np.average(self.labels, weights=votes))
 
 
 def fit(rows: list[dict[int, float]], labels: list[int], rank: int = 48, neighbours: int = 25) -> Voters:
@@ -125,12 +127,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str =
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", terms("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["terms"] for r in rows], [int(r["label"]) for r in rows], **options)
+    voters = fit([r["terms"] for r in rows], [int(r["label"]) for r in rows], **options)
+    rates = sampling_rates(labels, column, learn_from, bound)
+    voters.votes = (1 / rates[0], 1 / rates[1])
+    return voters
 
 
 def scorer(spark: SparkSession, voters: Voters):
     """Column function text -> score between 0 and 1."""
-    model = spark.sparkContext.broadcast((voters.idf, voters.projection, voters.vectors, voters.labels, voters.neighbours))
+    model = spark.sparkContext.broadcast((voters.idf, voters.projection, voters.vectors, voters.labels, voters.neighbours, voters.votes))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

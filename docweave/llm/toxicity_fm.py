@@ -5,7 +5,9 @@ meet, the first four and five letters of longer words; each is hashed into ``DIM
 machine learns a short vector per term; the products of two terms' vectors are the weights of pairs, such as an insult next to
 the name of a group, which a linear model cannot tell from either alone.
 
-Fitted on at most ``bound`` labelled rows of each label (a documented parameter), on the driver, by AdaGrad; terms that fewer
+Fitted on at most ``bound`` labelled rows of each label (a documented parameter), on the driver, by AdaGrad. Where the bound cuts
+the labels unequally, the bias is moved back by the log of the sampling rates, so that a score means the same share of label 1
+for samples of any size; terms that fewer
 than three of these rows have, or whose chi-squared with the label is under ``least``, are not learnt and stay zero. The model has a fixed size, DIMS x (1 + factors) numbers, and is
 broadcast; every row is then scored where it lies.
 
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, sampling_rates
 
 DIMS = 1 << 18
 TRIM = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -128,7 +130,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str =
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", places("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in rows], [int(r["label"]) for r in rows], **options)
+    machine = fit([np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in rows], [int(r["label"]) for r in rows], **options)
+    rates = sampling_rates(labels, column, learn_from, bound)
+    machine.bias += float(np.log(rates[0] / rates[1]))
+    return machine
 
 
 def scorer(spark: SparkSession, machine: Machine):

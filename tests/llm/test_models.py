@@ -67,6 +67,20 @@ def test_machine_learns_pairs():
     assert text[1] == pytest.approx(1 / (1 + np.exp(-linear)), abs=1e-5)
 
 
+def test_scores_do_not_depend_on_the_bound(spark):
+    """A bound that cuts the larger label only leaves scores where they are."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 5 == 0), " ".join(["alpha" if rng.random() < (0.7 if i % 5 == 0 else 0.2) else "beta", *(f"n{k}" for k in rng.integers(0, 40, 8))])) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, y, _ in rows], "doc_id long, quality int, toxic int")
+    for module, column in ((T, "toxic"), (Q, "quality")):
+        mean = []
+        for bound in (400, 4000):
+            score = module.scorer(spark, module.learn(docs, labels, crc_rest(1) == 0, column, bound=bound))
+            mean.append([np.mean([r[0] for r in docs.where(f"text LIKE '{w}%'").select(score("text")).collect()]) for w in ("alpha", "beta")])
+        assert np.abs(np.array(mean[0]) - np.array(mean[1])).max() < 0.1, (module.__name__, mean)
+
+
 def test_scorers_take_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "words " * 100_000, 1), (3, "a b c", 1), (3, "a b c", 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, None), (2, None, 1), (None, 0, 0), (3, 1, 0), (3, 0, 0), (77, 0, 1)], "doc_id long, quality int, toxic int")
