@@ -2,7 +2,8 @@
 
 Every item has a SimHash over its shingles of five words. For each document, windows as long as an item get a SimHash of the
 same kind; windows are taken wherever they share a shingle with an item of their length, since without one the similarity
-is zero. A multi-index finds the items near a window: fingerprints are cut into eight blocks, and two that differ in at most
+is zero. A document shorter than an item, but with at least ``similarity`` times its number of shingles, is one window as a whole.
+A multi-index finds the items near a window: fingerprints are cut into eight blocks, and two that differ in at most
 ``radius`` bits (15 at most) agree up to one bit in some block, so looking up each block and its one-bit neighbours finds every
 item within the radius. Candidates are verified with the exact weighted similarity of their shingles, the sum of the smaller
 counts over the sum of the larger counts.
@@ -109,6 +110,10 @@ class Items:
                         spots.setdefault(kind, []).append(p)
             for kind, hits in spots.items():
                 n, marks = kind[1] - size + 1, np.array(hits)
+                if len(words) < kind[1]:
+                    if len(words) - size + 1 >= similarity * n - 1e-9:
+                        self._windows(words, kind, len(words) - size + 1, 0, 1, radius, similarity, best)
+                    continue
                 starts = np.unique((marks[:, None] - np.arange(n)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts + kind[1] <= len(words))]
                 for stretch in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
@@ -118,18 +123,20 @@ class Items:
         return [(self.items[k][0], *found) for k, found in sorted(best.items())]
 
     def _windows(self, words, kind, n, first, count, radius, similarity, best) -> None:
-        h = hashes(words[first:first + count - 1 + kind[1]], kind[0])
+        """``count`` windows of n shingles each, the first one at word ``first``."""
+        long = n + kind[0] - 1
+        h = hashes(words[first:first + count - 1 + long], kind[0])
         sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(_bits(h), axis=0, dtype=np.int32)])
         fps = _packed(sums[n:n + count] - sums[:count], n)
         for w, fp in enumerate(fps.tolist()):
             own = None
             for k, bits in self.near(kind, fp, radius):
                 own = own or Counter(h[w:w + n].tolist())
-                other = self.items[k][2]
+                other, m = self.items[k][2], self.items[k][3]
                 common = sum(min(c, other[x]) for x, c in own.items() if x in other)
-                alike = common / (2 * n - common)
+                alike = common / (n + m - common)
                 if alike >= similarity and (k not in best or alike > best[k][3]):
-                    best[k] = (first + w, first + w + kind[1], bits, alike)
+                    best[k] = (first + w, first + w + long, bits, alike)
 
 
 def item_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple]]:

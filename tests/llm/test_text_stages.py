@@ -150,6 +150,23 @@ def test_decontamination_against_all_windows(spark):
     assert want and D.contaminated(docs, bench.limit(0)).count() == 0 and D.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_documents_that_are_shortened_items(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(n))) for k, n in enumerate((59, 50, 40, 30))]
+    texts = {}
+    for k, text in items:
+        own = text.split()
+        for j, cut in enumerate((own[:-1], own[1:], own[:-3], own[2:-1], own[:len(own) // 2])):
+            texts[10 * k + j] = " ".join(cut)
+    docs, bench = (spark.createDataFrame(rows, f"{c} long, text string") for rows, c in ((list(texts.items()), "doc_id"), (items, "item_id")))
+    found = {r["doc_id"]: r for r in D.contaminated(docs, bench).collect()}
+    assert set(found) == {d for d in texts if d % 10 < 4}
+    for d, r in found.items():
+        n, m = len(items[d // 10][1].split()) - 4, len(texts[d].split()) - 4
+        assert (r["item_id"], r["start"], r["stop"]) == (d // 10, 0, m + 4) and r["similarity"] == pytest.approx(m / n)
+    assert {r["doc_id"] for r in D.without_contaminated(docs, bench).collect()} == {d for d in texts if d % 10 == 4}
+
+
 def test_index_finds_every_item_within_the_radius():
     rng = np.random.default_rng(2)
     items = D.Items([(k, " ".join(map(str, rng.integers(0, 50, 12)))) for k in range(300)])
