@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_knn, toxicity_fm
+from . import bin_slack, periodic_runs, prefix_trie, quality_knn, toxicity_fm
 from .common import crc_rest, table
 from .decontaminate import contaminated
 from .licenses import CUE, OTHER_TERM, TERM, document_paths, licences, template_weights
@@ -119,3 +119,49 @@ def op9(spark, sf_dir):
 @query("op10_secret_randomness")
 def op10(spark, sf_dir):
     return digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op11_recompression")
+def op11(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def hundreds():
+    """Every conversation takes over up to five turns of the first one of its hundred."""
+    return F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6, 5
+
+
+_BYTES = "[ascii(s)::BIGINT FOR s IN string_split(conv_id::VARCHAR, '')]"
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+v AS MATERIALIZED (SELECT conv_id, pos, dense_rank() OVER (ORDER BY role, text) AS turn, length(text) AS chars FROM t),
+c AS MATERIALIZED (SELECT conv_id, max(pos) AS n, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM v GROUP BY conv_id),
+b AS (SELECT c.conv_id, n, base, h, least(h, coalesce((SELECT max(pos) FROM v WHERE v.conv_id = c.base), 0)) AS hb FROM c),
+r AS (SELECT b.conv_id, pos AS depth, turn, chars FROM b JOIN v ON v.conv_id = base AND pos <= hb
+      UNION ALL SELECT b.conv_id, hb + pos - h, turn, chars FROM b JOIN v ON v.conv_id = b.conv_id AND pos > h),
+p AS MATERIALIZED (SELECT conv_id, depth, chars, list(turn) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS key FROM r
+      UNION ALL SELECT conv_id, 0, 0, [] FROM b),
+l AS (SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id),
+g AS MATERIALIZED (SELECT key, min(conv_id) AS owner, any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY key),
+k AS (SELECT list_slice(key, 1, depth - 1) AS key, count(*) AS n_children, min(owner) AS owner FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.owner, g.depth, g.key, g.n_convs, g.chars, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k ON g.key = k.key),
+s AS (SELECT p.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+      FROM f JOIN p ON p.conv_id = f.owner AND p.depth <= f.depth GROUP BY p.key),
+e AS (SELECT key, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ids FROM p JOIN l ON p.conv_id = l.conv_id AND depth = length GROUP BY key)
+SELECT f.owner AS conv_id, f.depth::BIGINT AS depth, u.owner AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM f JOIN s ON s.key = f.key LEFT JOIN e ON e.key = f.key LEFT JOIN g u ON f.depth > 0 AND u.key = list_slice(f.key, 1, f.depth - 1)""")
+def op12(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), *hundreds())
+
+
+@query("op13_min_slack")
+def op13(spark, sf_dir):
+    import public_tokenizers as tokens
+
+    cut = bin_slack.pieces(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN)
+    return bin_slack.pack(cut)
