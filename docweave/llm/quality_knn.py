@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, sampling_rates, words_of
 
 STRUCTURE, WORDS = 1 << 10, 1 << 12
-_CACHE = 400_000
+#: Words whose places a task remembers, about 250 bytes each.
+_CACHE = 50_000
 
 
 def shape(word: str) -> str:
@@ -121,9 +123,10 @@ def fit(rows: list[dict[int, float]], labels: list[int], rank: int = 48, neighbo
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str = "quality", bound: int = 1500, **options) -> Voters:
     @F.pandas_udf("map<int,float>")
-    def terms(text: pd.Series) -> pd.Series:
+    def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
-        return pd.Series([features(t, cache) for t in text], dtype=object)
+        for text in texts:
+            yield pd.Series([features(t, cache) for t in text], dtype=object)
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", terms("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -138,9 +141,10 @@ def scorer(spark: SparkSession, voters: Voters):
     model = spark.sparkContext.broadcast((voters.idf, voters.projection, voters.vectors, voters.labels, voters.neighbours, voters.votes))
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, cache = Voters(*model.value), {}
-        out = [own.score([features(t, cache) for t in text.iloc[k:k + 256]]) for k in range(0, len(text), 256)]
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64").clip(0, 1)
+        for text in texts:
+            out = [own.score([features(t, cache) for t in text.iloc[k:k + 256]]) for k in range(0, len(text), 256)]
+            yield pd.Series(np.concatenate(out) if out else [], dtype="float64").clip(0, 1)
 
     return score.asNondeterministic()

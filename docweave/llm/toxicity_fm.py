@@ -18,6 +18,7 @@ labels every score is the share of label 1 (0 if there are none); very long text
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from .common import labelled_sample, sampling_rates
 
 DIMS = 1 << 18
 TRIM = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_CACHE = 400_000
+#: Words whose places a task remembers, about 250 bytes each.
+_CACHE = 50_000
 
 
 def term_ids(word: bytes) -> tuple[int, ...]:
@@ -124,9 +126,10 @@ def fit(rows: list[np.ndarray], labels: list[int], factors: int = 4, epochs: int
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str = "toxic", bound: int = 4000, **options) -> Machine:
     """Machine fitted on the bounded sample; only places of terms come to the driver."""
     @F.pandas_udf("binary")
-    def places(text: pd.Series) -> pd.Series:
+    def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
-        return pd.Series([terms_of(t, cache).astype(np.int32).tobytes() for t in text], dtype=object)
+        for text in texts:
+            yield pd.Series([terms_of(t, cache).astype(np.int32).tobytes() for t in text], dtype=object)
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", places("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -141,10 +144,10 @@ def scorer(spark: SparkSession, machine: Machine):
     model = spark.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        bias, weights, vectors = model.value
-        own, cache = Machine(bias, weights, vectors), {}
-        out = [own.score([terms_of(t, cache) for t in text.iloc[k:k + 64]]) for k in range(0, len(text), 64)]
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, cache = Machine(*model.value), {}
+        for text in texts:
+            out = [own.score([terms_of(t, cache) for t in text.iloc[k:k + 64]]) for k in range(0, len(text), 64)]
+            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return score.asNondeterministic()
