@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, let
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -43,14 +43,15 @@ def spread_lines(docs: DataFrame) -> DataFrame:
 
 def boilerplate(docs: DataFrame, min_sites: int = 3, long_words: int = 50, long_sites: int = 2, precision: int = 10, margin: float = 0.2) -> DataFrame:
     """line, sites (exact near the threshold, else estimated) and its first place (doc_id, row_hash, pos)."""
-    lines = spread_lines(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("row_hash"))
-    found = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(precision)).alias("sketch"), F.min(place).alias("first"), F.max("n_words").alias("n_words"), F.count("*").alias("n"))
+    # One row per line and site; the sketches and the exact counts both read these, so a line on many documents weighs no more than its sites.
+    sites = durable(spread_lines(docs).groupBy("line", "site").agg(F.min(place).alias("first"), F.max("n_words").alias("n_words"), F.count("*").alias("n")), "line-sites")
+    found = sites.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(precision)).alias("sketch"), F.min("first").alias("first"), F.max("n_words").alias("n_words"), F.sum("n").alias("n"))
     limit = F.when(F.col("n_words") >= long_words, long_sites).otherwise(min_sites)
     found = found.where(F.col("n") >= limit).select("line", "first", limit.alias("limit"), F.hll_sketch_estimate("sketch").cast("double").alias("estimate"))
     found = durable(found.where(F.col("estimate") >= F.col("limit") * (1 - margin) - 0.5), "spread")
     near = found.where(F.col("estimate") <= F.col("limit") * (1 + margin) + 0.5)
-    exact = (lines.select("line", "site").join(near.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("exact")))
+    exact = sites.select("line").join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
     out = found.join(exact, "line", "left").withColumn("sites", F.coalesce(F.col("exact").cast("double"), "estimate"))
     return out.where(F.col("sites") >= F.col("limit")).select("line", "sites", "first")
 
@@ -70,8 +71,9 @@ def without_boilerplate(docs: DataFrame, count_as: str | None = None, **options)
     a, b, c = fresh(docs, "_own_id"), fresh(docs, "_own_hash"), fresh(docs, "_places")
     mine = durable(mine.toDF(a, b, c), "places")
     out = docs.join(mine, F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(c), i))
-    text = F.when(F.col(c).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # The places that stay, by a hashed difference, so that a text of many lines takes linear time.
+    kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(c)), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(c).isNull(), F.col("text")).otherwise(kept)
     cols = {"text": text} | ({"n_chars": F.when(F.col(c).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     if count_as:
         cols[count_as] = F.coalesce(F.size(c), F.lit(0))

@@ -156,7 +156,7 @@ def test_templates_find_themselves(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
