@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -326,8 +326,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     counted, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the similarity."""
     key = F.xxhash64("node")
     rows = nodes.select(key.alias("key"), F.explode("prefix").alias("sh"))
-    shared = rows.withColumn("many", F.count("*").over(Window.partitionBy("sh"))).where("many > 1")
-    shared = durable(shared, "postings")
+    # Counted before they are shuffled; the written counts let a shingle of very many texts be split among tasks when they are joined back.
+    counts = durable(rows.groupBy("sh").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+    shared = durable(rows.join(counts, "sh"), "postings")
     central = shared.groupBy("key").agg(F.sum("many").alias("total"))
     info = nodes.where("n > 0").select(key.alias("key"), "node", "n", F.element_at("prefix", -1).alias("end")).join(central, "key").withColumn("central", F.col("total") / F.col("n"))
     posted = durable(shared.join(info, "key").select("sh", "node", "n", "end", "central"), "posted")
