@@ -1,6 +1,6 @@
 """Imports every group so that its queries are registered."""
 
-from . import headings, refs, sources, tables, text  # noqa: F401
+from . import convert, headings, refs, sources, tables, text  # noqa: F401
 from .registry import BUILDERS, oracle_sql, queries  # noqa: F401
 from .fixtures import Source
 

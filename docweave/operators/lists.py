@@ -20,8 +20,8 @@ def list_runs(children: DataFrame) -> DataFrame:
     m = L.list_marker("text")
     df = children.withColumn("_m", F.when(F.col("tag") == "p", m))
     df = df.withColumn("_type", F.col("_m.type"))
-    df = scan(df, ["doc_id"], ["child_idx"], {
-        "_prev": last_value(F.struct(F.col("_type").alias("t")), inclusive=False)})
+    df = durable(scan(df, ["doc_id"], ["child_idx"], {
+        "_prev": last_value(F.struct(F.col("_type").alias("t")), inclusive=False)}))
     start = F.col("_type").isNotNull() & ~F.col("_type").eqNullSafe(F.col("_prev")["t"])
     df = scan(df, ["doc_id"], ["child_idx"], {"run_id": running_sum(F.when(start, 1).otherwise(0))})
     return df.where("_type IS NOT NULL").select(

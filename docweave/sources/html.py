@@ -238,6 +238,19 @@ def drop_nodes(nodes: DataFrame, kinds: tuple[str, ...] = ("style", "script", "h
     return nodes.where(~inside & ~F.coalesce(F.col("tag").isin(*kinds), F.lit(False)) & ~F.coalesce(sheet, F.lit(False)))
 
 
+def asset_ranges(nodes: DataFrame, kinds: tuple[str, ...] = ("style", "script", "header", "img", "figure", "figcaption")) -> DataFrame:
+    """(doc_id, start, end) of the elements that ``drop_nodes`` removes."""
+    sheet = (F.col("tag") == "link") & F.array_contains(F.split(F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), r"\s+"), "stylesheet")
+    return nodes.where(F.col("tag").isin(*kinds) | sheet).select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"))
+
+
+def body_ranges(nodes: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the content of the first body element, or the whole page where there is none."""
+    body = nodes.where("tag = 'body'").groupBy("doc_id").agg(F.min_by(F.struct((F.col("node_idx") + 1).alias("start"), F.col("end_idx").alias("end")), "node_idx").alias("b"))
+    whole = nodes.groupBy("doc_id").agg(F.struct(F.lit(0).alias("start"), F.max("node_idx").alias("end")).alias("w"))
+    return whole.join(body, "doc_id", "left").select("doc_id", F.coalesce("b", "w").alias("r")).select("doc_id", "r.start", "r.end")
+
+
 def unwrap_inline(nodes: DataFrame, tags: tuple[str, ...] = K.INLINE_TAGS) -> DataFrame:
     """Inline formatting elements go, their content moves up to the next kept ancestor."""
     kept = F.filter("path", lambda p: ~p["tag"].isin(*tags))
