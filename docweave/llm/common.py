@@ -61,6 +61,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def in_slices(array, size: int, work, kind):
+    """An Arrow array of ``work(values of a slice)`` for each slice of an Arrow array, so that few values are Python objects at a time. Memory that Arrow
+    keeps after a batch goes back to the system, as idle workers of earlier stages stay alive."""
+    import pyarrow as pa
+
+    parts = [pa.array(work(array.slice(k, size).to_pylist()), kind) for k in range(0, len(array), size)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 

@@ -22,11 +22,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import in_slices
 
 SIZE, BLOCKS = 5, 8
 _TRIM = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -156,11 +159,14 @@ def matches(text: Column, items: list[tuple], radius: int = 15, similarity: floa
     """Array of matches of a text with one block of items."""
     made: dict = {}
 
-    @F.pandas_udf(MATCH)
-    def search(texts: pd.Series) -> pd.Series:
+    names = MATCH.elementType.names
+    kind = to_arrow_type(MATCH)
+
+    @F.arrow_udf(MATCH)
+    def search(texts: pa.Array) -> pa.Array:
         if not made:
             made[0] = Items(items)
-        return pd.Series([made[0].search(t, radius, similarity) for t in texts], dtype=object)
+        return in_slices(texts, 64, lambda part: [[dict(zip(names, m)) for m in made[0].search(t, radius, similarity)] for t in part], kind)
 
     return search.asNondeterministic()(text)
 

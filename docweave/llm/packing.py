@@ -20,16 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import durable, words_of
+from .common import WORD, durable
 
 
-@F.pandas_udf(T.LongType())
-def word_count(text: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Tokens as words between ASCII white space."""
-    return pd.Series([len(words_of(t)) for t in text], dtype="int64")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def bpe_count(path: str) -> Callable[[Column], Column]:

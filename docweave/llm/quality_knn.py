@@ -20,11 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sampling_rates, words_of
+from .common import in_slices, labelled_sample, sampling_rates, words_of
 
 STRUCTURE, WORDS = 1 << 10, 1 << 12
 #: Words whose places a task remembers, about 250 bytes each.
@@ -122,11 +122,11 @@ def fit(rows: list[dict[int, float]], labels: list[int], rank: int = 48, neighbo
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str = "quality", bound: int = 1500, **options) -> Voters:
-    @F.pandas_udf("map<int,float>")
-    def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("map<int,float>")
+    def terms(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
         for text in texts:
-            yield pd.Series([features(t, cache) for t in text], dtype=object)
+            yield in_slices(text, 256, lambda part: [list(features(t, cache).items()) for t in part], pa.map_(pa.int32(), pa.float32()))
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", terms("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -140,11 +140,10 @@ def scorer(spark: SparkSession, voters: Voters):
     """Column function text -> score between 0 and 1."""
     model = spark.sparkContext.broadcast((voters.idf, voters.projection, voters.vectors, voters.labels, voters.neighbours, voters.votes))
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, cache = Voters(*model.value), {}
         for text in texts:
-            out = [own.score([features(t, cache) for t in text.iloc[k:k + 256]]) for k in range(0, len(text), 256)]
-            yield pd.Series(np.concatenate(out) if out else [], dtype="float64").clip(0, 1)
+            yield in_slices(text, 256, lambda part: np.clip(own.score([features(t, cache) for t in part]), 0, 1), pa.float64())
 
     return score.asNondeterministic()

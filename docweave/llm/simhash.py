@@ -21,12 +21,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fresh, words_of
+from .common import durable, fresh, in_slices, words_of
 
 BITS, STEP = 64, 4
 #: Node pairs that a task holds at once, and size of a pair of ranges that is compared directly.
@@ -263,15 +264,15 @@ def _rest(n, similarity: float):
     return np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
 
 
-@F.pandas_udf(T.StringType())
-def _digest(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _digest(text: pa.Array) -> pa.Array:
     """The text's words as one digest."""
-    return pd.Series([xxhash.xxh3_128_hexdigest(b" ".join(w.lower() for w in words_of(t))) for t in text], dtype=object)
+    return in_slices(text, 64, lambda part: [xxhash.xxh3_128_hexdigest(b" ".join(w.lower() for w in words_of(t))) for t in part], pa.string())
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _all_ranks(text: pd.Series) -> pd.Series:
-    return pd.Series([_ranks([w.lower() for w in words_of(t)]) for t in text], dtype=object)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _all_ranks(text: pa.Array) -> pa.Array:
+    return in_slices(text, 64, lambda part: [_ranks([w.lower() for w in words_of(t)]) for t in part], pa.list_(pa.int64()))
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -284,27 +285,31 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 def _prefixes(common: np.ndarray, similarity: float):
     """Column function text -> digest, number of shingles, and prefix: the first shingles in the order of hashes, common ones last."""
-    @F.pandas_udf("node string, n long, prefix array<long>")
-    def of(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in text:
-            words = [w.lower() for w in words_of(t)]
-            s = _ranks(words)
-            if len(common) and len(s):
-                hot = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                s = np.concatenate([s[~hot], s[hot] + (1 << 62)])
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(s), s[:len(s) - int(_rest(np.array(len(s)), similarity))] if len(s) else s))
-        return pd.DataFrame(rows, columns=["node", "n", "prefix"])
+    def one(t: str | None) -> dict:
+        words = [w.lower() for w in words_of(t)]
+        s = _ranks(words)
+        if len(common) and len(s):
+            hot = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+            s = np.concatenate([s[~hot], s[hot] + (1 << 62)])
+        return {"node": xxhash.xxh3_128_hexdigest(b" ".join(words)), "n": len(s), "prefix": s[:len(s) - int(_rest(np.array(len(s)), similarity))] if len(s) else s}
+
+    kind = pa.struct([("node", pa.string()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("node string, n long, prefix array<long>")
+    def of(text: pa.Array) -> pa.Array:
+        return in_slices(text, 64, lambda part: [one(t) for t in part], kind)
     return of
 
 
-@F.pandas_udf(T.DoubleType())
-def shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def text_similarity(x: str | None, y: str | None) -> float:
     """Share of common five-word shingles among all of both texts; 1 for two texts without words."""
-    def one(x: str | None, y: str | None) -> float:
-        s, t = (set(shingles([w.lower() for w in words_of(z)], SHINGLE)) for z in (x, y))
-        return len(s & t) / len(s | t) if s or t else 1.0
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    s, t = (set(shingles([w.lower() for w in words_of(z)], SHINGLE)) for z in (x, y))
+    return len(s & t) / len(s | t) if s or t else 1.0
+
+
+@F.arrow_udf(T.DoubleType())
+def shingle_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array((text_similarity(a[i].as_py(), b[i].as_py()) for i in range(len(a))), pa.float64(), size=len(a))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:

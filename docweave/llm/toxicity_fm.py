@@ -21,11 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sampling_rates
+from .common import in_slices, labelled_sample, sampling_rates
 
 DIMS = 1 << 18
 TRIM = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -125,11 +125,11 @@ def fit(rows: list[np.ndarray], labels: list[int], factors: int = 4, epochs: int
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, column: str = "toxic", bound: int = 4000, **options) -> Machine:
     """Machine fitted on the bounded sample; only places of terms come to the driver."""
-    @F.pandas_udf("binary")
-    def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def places(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
         for text in texts:
-            yield pd.Series([terms_of(t, cache).astype(np.int32).tobytes() for t in text], dtype=object)
+            yield in_slices(text, 64, lambda part: [terms_of(t, cache).astype(np.int32).tobytes() for t in part], pa.binary())
 
     rows = labelled_sample(docs, labels, column, learn_from, bound).select("doc_id", "label", places("text").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -143,11 +143,10 @@ def scorer(spark: SparkSession, machine: Machine):
     """Column function text -> score. The broadcast model has a fixed size."""
     model = spark.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, cache = Machine(*model.value), {}
         for text in texts:
-            out = [own.score([terms_of(t, cache) for t in text.iloc[k:k + 64]]) for k in range(0, len(text), 64)]
-            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
+            yield in_slices(text, 64, lambda part: own.score([terms_of(t, cache) for t in part]), pa.float64())
 
     return score.asNondeterministic()
