@@ -63,8 +63,11 @@ query("read_heading_map", """SELECT doc_id, sig AS signature, row_number() OVER
     lambda s: M.read_heading_map(s("fx_maps")))
 query("read_sequence_map", """SELECT doc_id, 'decimal>alpha_upper' AS sequence, CAST(1 + ck % 5 AS INT) AS level FROM fx_maps WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'decimal', 1 FROM fx_maps WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'roman_upper>decimal', CAST(1 + ck % 5 AS INT) FROM fx_maps WHERE doc_id % 3 = 1""")(lambda s: M.read_sequence_map(s("fx_maps"), "seq_raw"))
-query("sequence_map_json", """SELECT doc_id, 'roman_upper>decimal' AS sequence, '{"sequence":["roman_upper","decimal"],"level":' || CAST(1 + ck % 5 AS INT) || '}' AS entry FROM fx_maps WHERE doc_id % 3 = 1""")(
-    lambda s: M.sequence_map_json(M.read_sequence_map(s("fx_maps").where("doc_id % 3 = 1"), "seq_raw")))
+SEQ_ENTRY = """'{"sequence":[' || {} || '],"level":' || CAST({} AS INT) || '}'"""
+query("sequence_map_json", f"""SELECT doc_id, 'roman_upper>decimal' AS sequence, {SEQ_ENTRY.replace('{}', chr(39) + '"roman_upper","decimal"' + chr(39), 1).replace('{}', '1 + ck % 5')} AS entry FROM fx_maps WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 'decimal>alpha_upper', {SEQ_ENTRY.replace('{}', chr(39) + '"decimal","alpha_upper"' + chr(39), 1).replace('{}', '1 + ck % 5')} FROM fx_maps WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'decimal', {SEQ_ENTRY.replace('{}', chr(39) + '"decimal"' + chr(39), 1).replace('{}', '1')} FROM fx_maps WHERE doc_id % 3 = 0""")(
+    lambda s: M.sequence_map_json(M.read_sequence_map(s("fx_maps"), "seq_raw")))
 query("stable_map_json", f"""SELECT doc_id, signature, row_number() OVER (PARTITION BY doc_id, signature ORDER BY ord) AS nth, '{{"signature":"' || signature || '","id":"' || id || '"}}' AS entry
 FROM (SELECT doc_id, ord, {X.sig('text')} AS signature, id FROM fx_anchored) z WHERE signature <> ''""")(lambda s: M.stable_map_json(H.stable_map(s("fx_anchored"))))
 query("manifest_json", """SELECT o_orderkey AS doc_id, '{"document":"d' || o_orderkey || '.docx","doc_hash":"' || sha256(CAST(o_orderkey AS VARCHAR)) || '","toc_depth":' || (1 + o_custkey % 3) || '}' AS manifest FROM orders""")(

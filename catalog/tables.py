@@ -30,8 +30,8 @@ WIDTH = "SELECT doc_id, table_idx, max(w) AS columns, max(n) AS max_cells FROM (
 query("table_widths", WIDTH)(lambda s: T.table_widths(s("fx_cells")))
 query("first_table_cells", "WITH f AS (SELECT doc_id, min(table_idx) t FROM fx_cells GROUP BY ALL) SELECT doc_id, max(n) AS max_cells FROM (SELECT c.doc_id, row_idx, count(*) n FROM fx_cells c JOIN f ON f.doc_id = c.doc_id AND f.t = c.table_idx GROUP BY ALL) z GROUP BY doc_id")(
     lambda s: T.first_table_cells(s("fx_cells").join(s("fx_cells").groupBy("doc_id").agg(F.min("table_idx").alias("_t")), "doc_id").withColumn("table_idx", F.col("table_idx") - F.col("_t"))))
-query("has_tables", "SELECT d.doc_id, EXISTS (SELECT 1 FROM fx_cells c WHERE c.doc_id = d.doc_id AND c.doc_id % 2 = 0) AS has_tables FROM fx_docs d")(
-    lambda s: T.has_tables(s("fx_docs"), s("fx_cells").where("doc_id % 2 = 0")))
+query("has_tables", "SELECT doc_id, n > 0 AS has_tables FROM (SELECT d.doc_id, count(c.doc_id) AS n FROM (SELECT doc_id FROM fx_docs UNION ALL SELECT -1 - doc_id FROM fx_docs) d LEFT JOIN fx_cells c ON c.doc_id = d.doc_id GROUP BY d.doc_id) z")(
+    lambda s: T.has_tables(s.sql("SELECT doc_id FROM fx_docs UNION ALL SELECT -1 - doc_id FROM fx_docs"), s("fx_cells")))
 INFO = f"""wd AS ({WIDTH}), hd AS (SELECT doc_id, table_idx, min(row_idx) AS head_row FROM fx_cells WHERE in_thead GROUP BY ALL),
 hc AS (SELECT c.doc_id, c.table_idx, count(*) n, max(colspan) sp, max(trim(text)) AS head_text FROM fx_cells c JOIN hd ON hd.doc_id = c.doc_id AND hd.table_idx = c.table_idx AND hd.head_row = c.row_idx GROUP BY ALL),
 ro AS (SELECT DISTINCT c.doc_id, c.table_idx, c.row_idx FROM fx_cells c LEFT JOIN hd ON hd.doc_id = c.doc_id AND hd.table_idx = c.table_idx WHERE head_row IS NULL OR c.row_idx <> head_row),
