@@ -250,6 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, leaf: int =
 SHINGLE = 5
 #: A shingle that this many texts of the sample have is common; the sample is at least one text in ``SAMPLED``; at most ``COMMON`` are broadcast.
 COMMON_FROM, SAMPLED, COMMON = 3, 16, 200_000
+#: Shingles of a text that look for its hub.
+HEAD = 12
 
 
 def _ranks(words: list[bytes]) -> np.ndarray:
@@ -326,34 +328,45 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     """nodes: one row per distinct text (node, first, n, prefix). Verified links (a, b) that connect whatever all pairs of this
     similarity connect.
 
-    Each text is first compared with one other: of the texts that share a shingle of both prefixes, the most central is the shingle's hub, and a
-    text goes to the hub that it shares most with. Then every pair of a shared prefix shingle that these links leave apart is
-    counted, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the similarity."""
-    key = F.xxhash64("node")
-    rows = nodes.select(key.alias("key"), F.explode("prefix").alias("sh"))
-    # Counted before they are shuffled; the written counts let a shingle of very many texts be split among tasks when they are joined back.
-    counts = durable(rows.groupBy("sh").agg(F.count("*").alias("many")).where("many > 1"), "counts")
-    shared = durable(rows.join(counts, "sh"), "postings")
-    central = shared.groupBy("key").agg(F.sum("many").alias("total"))
-    info = nodes.where("n > 0").select(key.alias("key"), "node", "n", F.element_at("prefix", -1).alias("end")).join(central, "key").withColumn("central", F.col("total") / F.col("n"))
-    posted = durable(shared.join(info, "key").select("sh", "node", "n", "end", "central"), "posted")
-    hubs = posted.groupBy("sh").agg(F.max(F.struct("central", "node")).alias("hub")).select("sh", F.col("hub.node").alias("hub"))
-    stars = posted.join(hubs, "sh").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    stars = stars.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"), F.first("n").alias("n")).where((F.col("m.c") > 0.05 * F.col("n")))
-    first = _verified(docs, nodes, durable(stars.select(F.col("node").alias("a"), F.col("m.hub").alias("b")), "stars"), similarity)
+    Each text is first compared with one other: of the texts that share one of the first ``HEAD`` shingles of both prefixes, the most central is
+    the shingle's hub, and a text goes to the hub that it shares most with. Then every pair of a shared prefix shingle that these links leave
+    apart is counted, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the similarity.
+
+    Postings move as two numbers, a shingle's and a text's; what a text brings (length, end of its prefix, root) is joined to those that are left."""
+    nodes = nodes.where("n > 0")
+    first = _verified(docs, nodes, _stars(nodes, similarity), similarity)
     group = durable(components(first), "star-groups")
-    placed = durable(posted.drop("central").join(group, "node", "left").select("sh", "node", "n", "end", F.coalesce("root", "node").alias("root")), "placed")
-    apart = placed.groupBy("sh").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sh")
-    left = durable(placed.join(apart, "sh", "left_semi"), "apart")
-    x, y = (left.select("sh", *[F.col(c).alias(c + s) for c in ("node", "n", "end", "root")]) for s in ("_x", "_y"))
+    rooted = durable(nodes.select("node", "n", "prefix").join(group, "node", "left").select(
+        F.xxhash64("node").alias("key"), "node", F.col("n").cast("int").alias("n"), F.element_at("prefix", -1).alias("end"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "prefix"), "roots")
+    # Shingles of several roots, by partial aggregation: a shingle of very many texts is one row a task.
+    apart = rooted.select(F.explode("prefix").alias("sh"), "root").groupBy("sh").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = durable(apart.where("low <> high").select("sh"), "apart")
+    left = durable(rooted.select("key", F.explode("prefix").alias("sh")).join(apart, "sh", "left_semi"), "postings")
+    left = durable(left.join(rooted.select("key", "n", "end", "root"), "key"), "placed")
+    x, y = (left.select("sh", *[F.col(c).alias(c + s) for c in ("key", "n", "end", "root")]) for s in ("_x", "_y"))
     alike = (F.col("n_x") >= similarity * F.col("n_y") - 1e-6) & (F.col("n_y") >= similarity * F.col("n_x") - 1e-6)
-    pairs = x.join(y, (x["sh"] == y["sh"]) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike)
-    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "end_x", "end_y").agg(F.count("*").alias("c"))
+    pairs = x.join(y, (x["sh"] == y["sh"]) & (F.col("key_x") < F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & alike)
+    pairs = pairs.groupBy("key_x", "key_y", "n_x", "n_y", "end_x", "end_y").agg(F.count("*").alias("c"))
     # Whatever is common and not counted comes after the prefix that ends first.
     rest = F.ceil(similarity * F.when(F.col("end_x") <= F.col("end_y"), F.col("n_x")).otherwise(F.col("n_y")) - 1e-9) - 1
-    near = pairs.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6)
-    second = _verified(docs, nodes, durable(near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), "candidates"), similarity)
-    return first.unionByName(second)
+    near = durable(pairs.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6).select("key_x", "key_y"), "candidates")
+    names = rooted.select("key", "node")
+    named = near.join(names.toDF("key_x", "a"), "key_x").join(names.toDF("key_y", "b"), "key_y").select("a", "b")
+    return first.unionByName(_verified(docs, nodes, durable(named, "named"), similarity))
+
+
+def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of a text to one hub. They only save pairs later, so a few shingles of each text will do."""
+    heads = durable(nodes.select("node", "n", F.explode(F.slice("prefix", 1, HEAD)).alias("sh")), "heads")
+    # The written counts and hubs let a shingle of very many texts be split among tasks when they are joined back.
+    counts = durable(heads.groupBy("sh").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+    shared = heads.join(counts, "sh")
+    central = shared.groupBy("node").agg(F.sum("many").alias("central"))
+    posted = durable(shared.select("sh", "node", "n").join(central, "node"), "posted")
+    hubs = durable(posted.groupBy("sh").agg(F.max(F.struct("central", "n", "node")).alias("hub")).select("sh", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    near = posted.join(hubs, "sh").where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
+    stars = near.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
+    return durable(stars.select(F.col("node").alias("a"), F.col("m.hub").alias("b")), "stars")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
