@@ -1,10 +1,13 @@
 """Rule metrics of a text and risk-controlled cutoffs.
 
-Every rule is a share between 0 and 1, higher is worse. On labelled rows the cutoff of a rule in a stratum moves from
-lenient to strict along a fixed grid as long as the exact (Clopper-Pearson) upper bound of the share of good documents that
-it rejects stays within the allowed risk. Testing along a fixed order needs no correction for the grid; the error level is
-divided by rules times strata (Bonferroni), and the allowed risk by the number of rules, so that all rules together reject
-no more than ``risk`` of the good documents of a stratum, with probability ``1 - error``.
+Every rule is a share between 0 and 1, higher is worse. The good labelled rows are dealt by a hash of their id: a quarter gives each stratum a
+nested family of cutoffs, in which all rules tighten together from level to level, and the other three quarters are the holdout. On the
+holdout the levels are tested from lenient to strict for as long as the exact (Clopper-Pearson) upper bound of the share of good documents
+that any rule rejects stays within ``risk``. Testing along a fixed order needs no correction for the levels, and the rules are
+tested as one; the error level is divided by the strata (Bonferroni). So with probability ``1 - error`` no stratum loses more than ``risk`` of
+its good documents. A value on a grid step counts as the step above; a document is rejected only beyond its cutoff, so ties stay.
+
+``choose_cutoffs`` is the separate form: every rule by itself, error and risk divided by the rules as well.
 
 Cases: a null or empty text has no words and fails the base rules; strata without enough labels get no cutoff; rows that
 repeat are judged one by one; labels of unknown ids count for nothing; an empty table gives an empty result.
@@ -27,6 +30,8 @@ RULES = ["symbols", "dup_lines", "repeats", "capitals", "one_word", "few_kinds",
 #: Lower ends of the strata by number of words: a fixed, small number of strata.
 BANDS = [0, 50, 200, 1000]
 STEPS = 50
+#: One good row in LEARN shapes the family of cutoffs; it has 2 * LEVELS + 1 levels.
+LEARN, LEVELS = 4, 10
 SPACE, SYMBOLS, MARKS = " \t\n\r\x0b\x0c", "#*$%&|<>", "!?~^"
 _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(r, T.DoubleType()) for r in RULES])
 
@@ -135,6 +140,58 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: f
     return choose_cutoffs({(r["stratum"], r["rule"], r["step"]): r["count"] for r in rows}, risk, error)
 
 
+def family(counts: dict[tuple[int, str, int], int], risk: float) -> dict[tuple[int, str], list[int]]:
+    """counts: good rows of the learning part by (stratum, rule, grid step). Cutoffs as grid steps, level by level, never rising: first from the
+    end of the grid down to the largest value seen, then rejecting up to ``risk`` of the learning part by each rule."""
+    out = {}
+    for s in range(len(BANDS)):
+        for rule in RULES:
+            steps = np.array([counts.get((s, rule, k), 0) for k in range(STEPS + 1)])
+            beyond = steps.sum() - np.cumsum(steps)  # rows over each step
+            top = int(np.flatnonzero(steps).max(initial=0))
+            wide = [top + math.ceil((STEPS - top) * (LEVELS - t) / LEVELS) for t in range(LEVELS)]
+            out[s, rule] = wide + [int(np.argmax(beyond <= risk * t / LEVELS * steps.sum())) for t in range(LEVELS + 1)]
+    return out
+
+
+def strictest_level(rejected: list[int], n: int, risk: float, error: float) -> int | None:
+    """rejected: good holdout rows of n that each level rejects, never falling. The last level before the first that fails its test."""
+    best = None
+    for t, r in enumerate(rejected):
+        if r > risk * n or upper_bound(r, n, error) > risk:
+            break
+        best = t
+    return best
+
+
+def joint_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> dict[tuple[int, str], float]:
+    """Cutoffs by (stratum, rule) from all rows whose quality label is 1. At most strata x rules x (steps + 1) numbers of the learning part and
+    strata x (levels + 1) of the holdout reach the driver."""
+    good = measured.join(one_label(labels, "quality").where("label = 1"), "doc_id", "left_semi").withColumn("_s", stratum(F.col("n_words")))
+    good = good.select("doc_id", "_s", *[F.ceil(F.col(r) * STEPS).cast("int").alias(r) for r in RULES])
+    learns = F.pmod(F.xxhash64("doc_id"), F.lit(LEARN)) == 0
+    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])
+    rows = good.where(learns).select("_s", F.inline(steps)).groupBy("_s", "rule", "step").count().collect()
+    nested = family({(r["_s"], r["rule"], r["step"]): r["count"] for r in rows}, risk)
+
+    def first_rejecting(rule: str) -> Column:
+        """How many levels keep the row; cutoffs never rise, so these are the first ones."""
+        own = F.element_at(F.array(*[F.array(*map(F.lit, nested[s, rule])) for s in range(len(BANDS))]), F.col("_s") + 1)
+        return F.size(F.filter(own, lambda cut: cut >= F.col(rule)))
+
+    held = good.where(~learns).groupBy("_s", F.least(*map(first_rejecting, RULES)).alias("level")).count().collect()
+    out, levels = {}, 2 * LEVELS + 1
+    for s in range(len(BANDS)):
+        count = np.zeros(levels + 1, dtype=np.int64)
+        for r in held:
+            if r["_s"] == s:
+                count[r["level"]] += r["count"]
+        best = strictest_level(np.cumsum(count)[:levels].tolist(), int(count.sum()), risk, error / len(BANDS))
+        if best is not None:
+            out |= {(s, rule): nested[s, rule][best] / STEPS for rule in RULES}
+    return out
+
+
 def judge(measured: DataFrame, cuts: dict[tuple[int, str], float]) -> DataFrame:
     """Adds base_failed, kept, and the names of the rules that reject the row."""
     s = stratum(F.col("n_words"))
@@ -154,4 +211,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     """One row per document row: doc_id, counts, base_failed, kept, broken_rules. The metrics are written once to the shared
     folder, since the cutoffs and the verdicts both read them."""
     measured = durable(with_metrics(docs), "rule-metrics")
-    return judge(measured, cutoffs(measured, labels, risk, error)).select("doc_id", *COUNTS, "base_failed", "kept", "broken_rules")
+    return judge(measured, joint_cutoffs(measured, labels, risk, error)).select("doc_id", *COUNTS, "base_failed", "kept", "broken_rules")

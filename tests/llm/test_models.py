@@ -127,6 +127,33 @@ def test_cutoffs_keep_the_promise():
     assert sum(comb(40, k) * p**k * (1 - p) ** (40 - k) for k in range(4)) == pytest.approx(0.05, rel=1e-6)
 
 
+def test_joint_cutoffs_keep_the_promise(spark):
+    """Cutoffs learnt from half of the labels, counted on the other half; every stratum with 86 good holdout rows has cutoffs."""
+    for sf, strata in ((DATA, 1), ("/root/testdata/sf0.1", 3)):
+        measured = R.durable(R.with_metrics(spark.read.parquet(f"{sf}/documents.parquet")), "t").cache()
+        labels = spark.read.parquet(f"{sf}/labels.parquet")
+        assert len({s for s, _ in R.joint_cutoffs(measured, labels)}) >= strata
+        half = R.F.xxhash64("doc_id", R.F.lit("half")) % 2 == 0
+        cuts = R.joint_cutoffs(measured, labels.where(half), risk=0.1)
+        rows = R.judge(measured, cuts).join(labels.where(~half).where("quality = 1"), "doc_id").select(R.stratum(R.F.col("n_words")).alias("s"), R.F.size("broken_rules").alias("b")).collect()
+        for s in {s for s, _ in cuts}:
+            own = [r["b"] > 0 for r in rows if r["s"] == s]
+            assert sum(own) <= 0.1 * len(own) + 3 * (0.1 * 0.9 * len(own)) ** 0.5
+
+
+def test_family_is_nested_and_tested_in_order():
+    rng = np.random.default_rng(6)
+    counts = {}
+    for rule in R.RULES:
+        for k in np.ceil(rng.beta(1, 9, 200) * R.STEPS).astype(int):
+            counts[0, rule, int(k)] = counts.get((0, rule, int(k)), 0) + 1
+    for (s, rule), cuts in R.family(counts, 0.05).items():
+        assert len(cuts) == 2 * R.LEVELS + 1 and cuts[0] == R.STEPS and all(x >= y for x, y in zip(cuts, cuts[1:]))
+        assert sum(n for (z, r, k), n in counts.items() if (z, r) == (s, rule) and k > cuts[R.LEVELS]) == 0
+    assert R.strictest_level([0, 0, 1], 86, 0.05, 0.0125) == 1 and R.strictest_level([0], 85, 0.05, 0.0125) is None
+    assert R.strictest_level([9, 0], 100, 0.05, 0.0125) is None and R.strictest_level([], 0, 0.05, 0.0125) is None
+
+
 def test_rules_take_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "a b c d e f g h i j k", 1), (3, "x " * 100_000, 1), (3, "x " * 100_000, 1)], "doc_id long, text string, m int")
     labels = spark.createDataFrame([(1, 1), (9, 1), (None, 1), (3, None)], "doc_id long, quality int")
