@@ -212,7 +212,7 @@ def trie_links(fps: DataFrame, budget: int, leaf: int = 65_536) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root): the smallest node of each connected component, for every node that has a link. Large and small
-    stars alternate until no link changes; each step is an aggregation and a join, never a gathered neighbourhood."""
+    stars alternate until only stars are left; each step is an aggregation and a join, never a gathered neighbourhood."""
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -222,9 +222,9 @@ def components(links: DataFrame) -> DataFrame:
         low = durable(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u")
         moved = durable(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
-        same = moved.count() == edges.count() and moved.join(edges, ["u", "v"], "left_anti").isEmpty()
         edges = moved
-        if same:
+        # Done when only stars are left: every vertex points to one other, which points to none.
+        if edges.groupBy("u").count().where("count > 1").isEmpty() and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty():
             break
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
