@@ -217,14 +217,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large, "large-stars")
+        # One row per edge, without an aggregation behind the join, so that a star of very many edges is split among tasks.
+        large = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large-stars")
         low = durable(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u")
         moved = durable(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
         edges = moved
         # Done when only stars are left: every vertex points to one other, which points to none.
-        if edges.groupBy("u").count().where("count > 1").isEmpty() and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty():
+        ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 AND out > 0").isEmpty():
             break
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -324,20 +325,28 @@ def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: f
     return durable(pairs.select("a", "b", shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select("a", "b"), "verified")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes: one row per distinct text (node, first, n, prefix). Verified links (a, b) that connect whatever all pairs of this
-    similarity connect.
+def _jump(tree: DataFrame, what: str) -> DataFrame:
+    """(node, root) with each root replaced by its own root, if it has one. The rows of one root are split among tasks, as nothing follows the join."""
+    up = tree.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return durable(tree.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), what)
+
+
+def similar_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: one row per distinct text (node, first, n, prefix). (node, root) for every text with words: texts that pairs of this similarity
+    connect have one root.
 
     Each text is first compared with one other: of the texts that share one of the first ``HEAD`` shingles of both prefixes, the most central is
-    the shingle's hub, and a text goes to the hub that it shares most with. Then every pair of a shared prefix shingle that these links leave
-    apart is counted, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the similarity.
+    the shingle's hub, and a text goes to the more central hub that it shares most with. These links are a forest; two jumps up bring nearly every
+    text to its top. Then every pair of a shared prefix shingle whose tops differ is counted, and verified unless its common prefix shingles and
+    what follows the shorter prefix cannot reach the similarity. Components are those of the tops.
 
     Postings move as two numbers, a shingle's and a text's; what a text brings (length, end of its prefix, root) is joined to those that are left."""
     nodes = nodes.where("n > 0")
     first = _verified(docs, nodes, _stars(nodes, similarity), similarity)
-    group = durable(components(first), "star-groups")
-    rooted = durable(nodes.select("node", "n", "prefix").join(group, "node", "left").select(
-        F.xxhash64("node").alias("key"), "node", F.col("n").cast("int").alias("n"), F.element_at("prefix", -1).alias("end"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "prefix"), "roots")
+    tree = _jump(_jump(first.select(F.col("a").alias("node"), F.col("b").alias("root")), "parents"), "tops")
+    rooted = durable(nodes.select("node", "n", "prefix").join(tree, "node", "left").select(
+        F.xxhash64("node").alias("key"), "node", F.col("n").cast("int").alias("n"), F.element_at("prefix", -1).alias("end"), F.coalesce("root", "node").alias("top"), "prefix"), "roots")
+    rooted = rooted.withColumn("root", F.xxhash64("top"))
     # Shingles of several roots, by partial aggregation: a shingle of very many texts is one row a task.
     apart = rooted.select(F.explode("prefix").alias("sh"), "root").groupBy("sh").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     apart = durable(apart.where("low <> high").select("sh"), "apart")
@@ -352,11 +361,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     near = durable(pairs.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6).select("key_x", "key_y"), "candidates")
     names = rooted.select("key", "node")
     named = near.join(names.toDF("key_x", "a"), "key_x").join(names.toDF("key_y", "b"), "key_y").select("a", "b")
-    return first.unionByName(_verified(docs, nodes, durable(named, "named"), similarity))
+    # A link of the forest joins two tops only where a text lies deeper than the jumps reach.
+    links = _verified(docs, nodes, durable(named, "named"), similarity).unionAll(first)
+    tops = rooted.select("node", "top")
+    crossing = links.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b").where("top_a <> top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
+    group = durable(components(crossing).toDF("top", "root"), "groups-of-tops")
+    return tops.join(group, "top", "left").select("node", F.coalesce("root", "top").alias("root"))
 
 
 def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of a text to one hub. They only save pairs later, so a few shingles of each text will do."""
+    """Links (a, b) of a text to one more central hub, at most one per text. They only save pairs later, so a few shingles of each text will do."""
     heads = durable(nodes.select("node", "n", F.explode(F.slice("prefix", 1, HEAD)).alias("sh")), "heads")
     # The written counts and hubs let a shingle of very many texts be split among tasks when they are joined back.
     counts = durable(heads.groupBy("sh").agg(F.count("*").alias("many")).where("many > 1"), "counts")
@@ -364,6 +378,7 @@ def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
     central = shared.groupBy("node").agg(F.sum("many").alias("central"))
     posted = durable(shared.select("sh", "node", "n").join(central, "node"), "posted")
     hubs = durable(posted.groupBy("sh").agg(F.max(F.struct("central", "n", "node")).alias("hub")).select("sh", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    # A shingle's hub is its most central text, so each link goes up in one order and no links form a circle.
     near = posted.join(hubs, "sh").where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
     stars = near.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
     return durable(stars.select(F.col("node").alias("a"), F.col("m.hub").alias("b")), "stars")
@@ -382,7 +397,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     prefixes = _prefixes(common_shingles(docs), similarity)
     marked = docs.select("doc_id", prefixes("text").alias("m")).select("doc_id", "m.*")
     nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
-    group = durable(components(similar_links(docs, nodes, similarity)), "text-groups")
+    group = durable(similar_groups(docs, nodes, similarity), "text-groups")
     rooted = durable(nodes.select("node", "first").join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     stays = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "stays")
     node, first = fresh(docs, "_node"), fresh(docs, "_first")
