@@ -400,7 +400,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     group = durable(similar_groups(docs, nodes, similarity), "text-groups")
     rooted = durable(nodes.select("node", "first").join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     stays = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "stays")
-    node, first = fresh(docs, "_node"), fresh(docs, "_first")
-    own = docs.withColumn(key, _digest("text"))
-    kept = own.join(stays.toDF(node, first), (F.col(key) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(first)))
-    return kept.dropDuplicates([key, "doc_id"]).select(*docs.columns)
+    # Words and id as one key, so that repeated rows are already together after the join.
+    id_key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    own = docs.withColumn(key, F.concat(_digest("text"), id_key("doc_id")))
+    kept = own.join(stays.select(F.concat("node", id_key("first")).alias(key)), key)
+    return kept.dropDuplicates([key]).select(*docs.columns)
