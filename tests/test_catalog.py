@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 SAMPLE = ["number_headings", "heading_keys", "permalink_flow", "extract_references", "match_references", "reattach_edits", "align_cells",
-          "list_numbers", "read_heading_map", "stream_edits", "docx_paragraphs"]
+          "list_numbers", "read_heading_map", "stream_edits", "docx_paragraphs", "strip_front_matter", "reattach_edits_trusted"]
 
 
 @pytest.fixture(scope="module")
