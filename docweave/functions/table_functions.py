@@ -36,13 +36,13 @@ class HtmlNodes:
         return AnalyzeResult(T.StructType([*NODES.fields, T.StructField("inner", T.StringType())]))
 
     def eval(self, html: str, tags: str | None = None):
-        from ..sources.html import _Reader
+        from ..sources.html import NAMES, _Reader
 
         reader = _Reader(None if tags is None else frozenset(tags.lower().split()))
-        reader.feed(html or "")
-        names = [*NODES.names, *([] if tags is None else ["inner"])]
-        for row in reader.finish():
-            yield tuple(row[n] for n in names)
+        reader.read(html or "")
+        columns = dict(zip(NAMES, (c.to_pylist() for c in reader.columns())))
+        columns["attrs"] = [dict(a) for a in columns["attrs"]]
+        yield from zip(*(columns[n] for n in [*NODES.names, *([] if tags is None else ["inner"])]))
 
 
 class ArchiveMembers:

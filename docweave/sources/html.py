@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from ..functions import labels as L
 _NODE = ("node_idx int, parent_idx int, depth int, end_idx int, kind string, tag string, ord int, text string, "
          "attrs map<string,string>, path array<struct<idx:int,tag:string,ord:int>>, link_idx int, href string, "
          "inner string, spaced string")
+NAMES = "node_idx parent_idx depth end_idx kind tag ord text attrs path link_idx href inner spaced".split()
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _GROUP = {**{t: "block" for t in K.BLOCK_TAGS}, **{t: "heading" for t in _HEADINGS}, "table": "table", "ol": "list",
@@ -23,58 +26,133 @@ _SPACED = frozenset(("td", "th", "caption"))
 
 #: Node rows that leave the parser together; a page is never split.
 BATCH_ROWS = 20_000
+#: Markup that reads the same in every parser: plain elements with quoted or simple values and text up to the next element. From anything else on, a page goes through HTMLParser.
+_PLAIN = re.compile(r'''<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9-]*=(?:"[^"<>&]*"|[a-zA-Z0-9_.-]+(?=[ \t\n>])))*)[ \t\n]*>|([^<]+)''')
+_PLAIN_ATTR = re.compile(r'''([a-zA-Z][a-zA-Z0-9-]*)=(?:"([^"]*)"|([a-zA-Z0-9_.-]+))''')
+#: Elements whose content is not markup.
+_OPAQUE = frozenset("script style textarea title iframe noembed noframes noscript plaintext xmp".split())
 
 
 class _Reader(HTMLParser):
-    """Open-element stack of one page; rows come out in document order."""
+    """Open-element stack of one page after the other; the rows of all of them are held as columns, in document order."""
 
     def __init__(self, tags=None):
         super().__init__(convert_charrefs=True)
         self.tags = tags
-        self.rows, self.stack, self.texts, self.pending, self.ords = [], [], [], [], {}
+        self.clear()
+
+    def clear(self):
+        self.node, self.parent, self.depth, self.end, self.kind, self.tag, self.ord, self.text = [], [], [], [], [], [], [], []
+        self.link, self.href, self.inner, self.spaced = [], [], [], []
+        # Attributes and ancestors of all rows in a line, with the end of each row's part.
+        self.names, self.values, self.attrs_end = [], [], [0]
+        self.up_idx, self.up_tag, self.up_ord, self.path_end = [], [], [], [0]
+
+    def read(self, html):
+        """Add the rows of one page; how many there were."""
+        held = len(self.node)
+        self.reset()
+        self.n, self.texts, self.pending, self.ords = 0, [], [], {}
+        self.open, self.s_idx, self.s_tag, self.s_ord = [], [], [], []
+        at, match, ends = 0, _PLAIN.match, len(html)
+        while at < ends:
+            m = match(html, at)
+            if m is None:
+                break
+            closing, tag, attrs, text = m.groups()
+            if text is not None:
+                self.pending.append(unescape(text) if "&" in text else text)
+            else:
+                tag = tag.lower()
+                if tag in _OPAQUE or closing and attrs:
+                    break
+                if closing:
+                    self.handle_endtag(tag)
+                else:
+                    self.handle_starttag(tag, [(k.lower(), v or w) for k, v, w in _PLAIN_ATTR.findall(attrs)] if attrs else ())
+            at = m.end()
+        if at < ends:
+            self.feed(html[at:])
+        self.close()
+        self.flush()
+        while self.open:
+            self._close(self._pop())
+        return len(self.node) - held
 
     def _add(self, kind, tag, text, attrs):
-        top = self.stack[-1] if self.stack else None
-        group = _GROUP.get(tag) if kind == "tag" else None
-        ordinal = self.ords.get(group, 0) if group else None
+        """(node, tag, link, href, texts before, row or -1) of a new node."""
+        idx, up = self.n, self.open[-1] if self.open else None
+        self.n += 1
+        group = _GROUP.get(tag) if tag else None
+        ordinal = None
         if group:
+            ordinal = self.ords.get(group, 0)
             self.ords[group] = ordinal + 1
-        link = top["link_idx"] if top else None
-        full = self.tags is None or tag in self.tags
-        row = {"node_idx": len(self.rows), "parent_idx": top["node_idx"] if top else None, "depth": len(self.stack),
-               "end_idx": len(self.rows), "kind": kind, "tag": tag, "ord": ordinal, "text": text, "attrs": attrs,
-               "path": [{"idx": s["node_idx"], "tag": s["tag"], "ord": s["ord"]} for s in self.stack] if full else None,
-               "link_idx": link, "href": top["href"] if link is not None else None, "inner": None, "spaced": None,
-               "_from": len(self.texts)}
-        if kind == "tag" and tag == "a":
-            row["link_idx"], row["href"] = row["node_idx"], attrs.get("href")
-        self.rows.append(row)
-        return row
+        link, href = (up[2], up[3]) if up else (None, None)
+        if tag == "a":
+            link, href = idx, attrs.get("href")
+        row = -1
+        if self.tags is None or tag in self.tags:
+            row = len(self.node)
+            self.node.append(idx)
+            self.parent.append(up[0] if up else None)
+            self.depth.append(len(self.open))
+            self.end.append(idx)
+            self.kind.append(kind)
+            self.tag.append(tag)
+            self.ord.append(ordinal)
+            self.text.append(text)
+            if attrs:
+                self.names += attrs
+                self.values += attrs.values()
+            self.attrs_end.append(len(self.names))
+            self.up_idx += self.s_idx
+            self.up_tag += self.s_tag
+            self.up_ord += self.s_ord
+            self.path_end.append(len(self.up_idx))
+            self.link.append(link)
+            self.href.append(href)
+            self.inner.append(None)
+            self.spaced.append(None)
+        return idx, tag, link, href, len(self.texts), row, ordinal
 
     def flush(self):
         if self.pending:
             text = "".join(self.pending)
             self.pending = []
-            raw = bool(self.stack) and self.stack[-1]["tag"] in ("script", "style")
-            self._add("raw" if raw else "text", None, text, {})
+            raw = bool(self.s_tag) and self.s_tag[-1] in ("script", "style")
+            self._add("raw" if raw else "text", None, text, None)
             if not raw:
                 self.texts.append(text)
 
-    def _close(self, row):
-        row["end_idx"] = len(self.rows) - 1
-        if row["tag"] in _INNER and (self.tags is None or row["tag"] in self.tags):
-            mine = self.texts[row["_from"]:]
-            row["inner"] = "".join(mine)
-            if row["tag"] in _SPACED:
-                row["spaced"] = " ".join(t.strip() for t in mine if t.strip())
+    def _pop(self):
+        self.s_idx.pop()
+        self.s_tag.pop()
+        self.s_ord.pop()
+        return self.open.pop()
+
+    def _close(self, node):
+        _, tag, _, _, before, row, _ = node
+        if row < 0:
+            return
+        self.end[row] = self.n - 1
+        if tag in _INNER:
+            mine = self.texts[before:]
+            self.inner[row] = "".join(mine)
+            if tag in _SPACED:
+                self.spaced[row] = " ".join(t.strip() for t in mine if t.strip())
 
     def handle_starttag(self, tag, attrs):
-        self.flush()
-        row = self._add("tag", tag, None, {k: v or "" for k, v in attrs})
+        if self.pending:
+            self.flush()
+        node = self._add("tag", tag, None, {k: v or "" for k, v in attrs})
         if tag in _VOID:
-            self._close(row)
+            self._close(node)
         else:
-            self.stack.append(row)
+            self.open.append(node)
+            self.s_idx.append(node[0])
+            self.s_tag.append(tag)
+            self.s_ord.append(node[6])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -82,12 +160,13 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.flush()
-        if any(r["tag"] == tag for r in self.stack):
+        if self.pending:
+            self.flush()
+        if tag in self.s_tag:
             while True:
-                row = self.stack.pop()
-                self._close(row)
-                if row["tag"] == tag:
+                node = self._pop()
+                self._close(node)
+                if node[1] == tag:
                     return
 
     def handle_data(self, data):
@@ -97,41 +176,39 @@ class _Reader(HTMLParser):
         self.flush()
         self._add("comment", None, data, {})
 
-    def finish(self):
-        self.close()
-        self.flush()
-        while self.stack:
-            self._close(self.stack.pop())
-        return self.rows if self.tags is None else [r for r in self.rows if r["tag"] in self.tags]
+    def columns(self):
+        """Arrow columns of the rows held, in the order of NAMES."""
+        import pyarrow as pa
+
+        ints, strings = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.string()))
+        attrs = pa.MapArray.from_arrays(ints(self.attrs_end), strings(self.names), strings(self.values))
+        up = pa.StructArray.from_arrays([ints(self.up_idx), strings(self.up_tag), ints(self.up_ord)], ["idx", "tag", "ord"])
+        return [ints(self.node), ints(self.parent), ints(self.depth), ints(self.end), strings(self.kind), strings(self.tag), ints(self.ord), strings(self.text), attrs,
+                pa.ListArray.from_arrays(ints(self.path_end), up), ints(self.link), strings(self.href), strings(self.inner), strings(self.spaced)]
 
 
 def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
     """Tag, text and comment rows of every page with order, depth, parent and ancestors.
     Unclosed tags stay open until an enclosing tag ends. tags: only rows of these elements, with the numbers they have among all;
     ancestors and inner text are then built for them alone."""
-    import pandas as pd
-
-    names = [f.split()[0] for f in
-             "node_idx parent_idx depth end_idx kind tag ord text attrs path link_idx href inner spaced".split()]
-
     wanted = None if tags is None else frozenset(tags)
 
     def parse(batches):
-        for pdf in batches:
-            held = []
-            for key, html in zip(pdf["doc_id"], pdf["html"]):
-                reader = _Reader(wanted)
-                reader.feed(html or "")
-                held += [[key, *(r[n] for n in names)] for r in reader.finish()]
-                if len(held) >= BATCH_ROWS:
-                    yield pd.DataFrame(held, columns=["doc_id", *names], dtype=object)
-                    held = []
-            if held:
-                yield pd.DataFrame(held, columns=["doc_id", *names], dtype=object)
+        import pyarrow as pa
+
+        reader = _Reader(wanted)
+        for batch in batches:
+            keys, html, page = batch.column(0), batch.column(1), []
+            for i in range(batch.num_rows):
+                page += [i] * reader.read(html[i].as_py() or "")
+                if len(page) >= BATCH_ROWS or (page and i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(page, pa.int32())), *reader.columns()], ["doc_id", *NAMES])
+                    reader.clear()
+                    page = []
 
     id_type = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"))
-    return src.mapInPandas(parse, f"doc_id {id_type}, {_NODE}")
+    return src.mapInArrow(parse, f"doc_id {id_type}, {_NODE}")
 
 
 def html_segments(nodes: DataFrame) -> DataFrame:

@@ -103,3 +103,28 @@ def test_map_sinks_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([(1, 0, None, "<ul>"), (1, 1, 5, "<li>"), (1, 2, None, "</ul>")], "doc_id long, part int, ord long, line string")
     M.write_toc(lines, str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).count() == 3
+
+
+def test_plain_markup_is_read_without_the_general_parser(spark, monkeypatch):
+    page = '<div class="m"><table><tr><th colspan=2>A &amp; B</th></tr><tr><td id="x">1</td><td>2</td></tr></table><ol type="a"><li>x<ol><li>y</li></ol></li></ol></div>'
+    general = S._Reader()
+    general.read("<!-- -->" + page)  # a comment in front sends the page through HTMLParser
+    monkeypatch.setattr(S._Reader, "feed", lambda self, data: (_ for _ in ()).throw(AssertionError("HTMLParser was asked")))
+    plain = S._Reader()
+    assert plain.read(page) == plain.read(page) == len(general.node) - 1
+    for name in ("kind", "tag", "ord", "text", "inner", "spaced", "names", "values", "up_tag"):
+        have = getattr(plain, name)
+        skip = 1 if len(getattr(general, name)) * 2 > len(have) else 0
+        assert have == getattr(general, name)[skip:] * 2, name
+    some = S._Reader(frozenset(("td", "th")))
+    assert some.read(page) == 3 and some.spaced == ["A & B", "1", "2"] and some.up_tag == ["div", "table", "tr"] * 3
+
+
+def test_parsed_rows_keep_long_ids_next_to_a_null_id(spark):
+    big = 2 ** 53 + 1
+    pages = spark.createDataFrame([(big, "<p>a</p>"), (None, "<p>b</p>"), (7, None)], "doc_id long, html string").coalesce(1)
+    assert {r.doc_id for r in S.html_nodes(pages).collect()} == {big, None}
+    xml = f"<w:document {W}><w:body><w:p><w:r><w:t>t</w:t></w:r></w:p></w:body></w:document>".encode()
+    parts = spark.createDataFrame([(big, "word/document.xml", bytearray(xml)), (None, "word/document.xml", bytearray(xml)), (8, "word/document.xml", bytearray(b"<broken"))],
+                                  "doc_id long, part string, content binary").coalesce(1)
+    assert {(r.doc_id, r.text) for r in D.docx_paragraphs(parts).select("doc_id", "text").collect()} == {(big, "t"), (None, "t")}
