@@ -164,20 +164,19 @@ def orphan_numbering(nums: DataFrame, levels: DataFrame) -> DataFrame:
 def resolve_styles(styles: DataFrame, fields: list[str]) -> DataFrame:
     """Inherited fields: the first non-null value along the based-on chain; a chain that
     returns to a visited style stops. One join per inheritance step, on unfinished rows."""
+    styles = durable(styles.select("doc_id", "style_id", "based_on", *fields))
     base = styles.select("doc_id", F.col("style_id").alias("_next"), F.col("based_on").alias("_base"),
-                         *[F.col(f).alias(f"_p_{f}") for f in fields])
+                         *[F.col(f).alias(f"_p_{f}") for f in fields], F.lit(True).alias("_known"))
     cur = styles.select("doc_id", "style_id", F.col("based_on").alias("_next"), F.array("style_id").alias("chain"), *fields)
     done = None
     while True:
-        live = F.col("_next").isNotNull() & ~F.array_contains("chain", F.col("_next"))
-        step = cur.withColumn("_live", F.coalesce(live, F.lit(False)))
-        known = step.where("_live").join(base, ["doc_id", "_next"], "inner").select(
+        live = F.coalesce(F.col("_next").isNotNull() & ~F.array_contains("chain", F.col("_next")), F.lit(False))
+        # Rows that go on take the next style's values; all others have ended. A step is written once, so no later one joins it again.
+        step = durable(cur.withColumn("_next", F.when(live, F.col("_next"))).join(base, ["doc_id", "_next"], "left"))
+        ended = step.where("_known IS NULL").select("doc_id", "style_id", "chain", *fields)
+        done = ended if done is None else done.unionByName(ended)
+        cur = step.where("_known").select(
             "doc_id", "style_id", F.col("_base").alias("_next"), F.concat("chain", F.array("_next")).alias("chain"),
             *[F.coalesce(f, f"_p_{f}").alias(f) for f in fields])
-        ended = step.where("NOT _live").unionByName(
-            step.where("_live").join(base.select("doc_id", "_next"), ["doc_id", "_next"], "left_anti"))
-        ended = ended.select("doc_id", "style_id", "chain", *fields)
-        done = ended if done is None else done.unionByName(ended)
-        cur = durable(known)
         if cur.isEmpty():
             return done

@@ -139,3 +139,19 @@ def test_list_styles(spark):
                                "doc_id long, list_idx int, parent_list_idx int, depth int, type string, classes array<string>, style string")
     got = {r.list_idx: r.list_style for r in Li.list_styles(df).collect()}
     assert got == {0: "upper-alpha", 1: "decimal", 2: "lower-roman", 3: "upper-alpha", 4: "decimal"}
+
+
+def test_resolve_styles_reads_its_input_once(spark):
+    from docweave.operators.numbering import resolve_styles
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    rows = [(1, "a", None, "F"), (1, "b", "a", None), (1, "c", "b", None), (1, "d", "d", None), (1, "e", "gone", "G"), (1, "f", "g", None), (1, "g", "f", "H"), (None, "h", "a", None)]
+    schema = "doc_id long, style_id string, based_on string, font string"
+    styles = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(seen, schema)
+    out = {r.style_id: ("".join(r.chain), r.font) for r in resolve_styles(styles, ["font"]).collect()}
+    assert out == {"a": ("a", "F"), "b": ("ba", "F"), "c": ("cba", "F"), "d": ("d", None), "e": ("e", "G"), "f": ("fg", "H"), "g": ("gf", "H"), "h": ("h", None)}
+    assert reads.value == 1
