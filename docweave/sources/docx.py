@@ -102,24 +102,35 @@ def read_docx_parts(spark: SparkSession, path: str) -> DataFrame:
     return archive_parts(read_archives(spark, path))
 
 
+#: Rows that leave the parser together; a document is never split.
+BATCH_ROWS = 20_000
+
+
 def _parse(parts: DataFrame, part: str, fn, columns: list[str], schema: str) -> DataFrame:
     """Rows that ``fn(root)`` reads from one XML part of every document."""
-    import pandas as pd
-
     id_type = parts.schema["doc_id"].dataType.simpleString()
+    kinds = [c.split()[1] for c in schema.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            for doc, data in zip(pdf["doc_id"], pdf["content"]):
+        import pyarrow as pa
+
+        types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+        for batch in batches:
+            docs, content, held, doc = batch.column(0), batch.column(1), [], []
+            for i in range(batch.num_rows):
+                data = content[i].as_py()
                 try:
                     rows = fn(ET.fromstring(data))
                 except ET.ParseError:
-                    continue
-                out = pd.DataFrame(rows, columns=columns, dtype=object)
-                out.insert(0, "doc_id", doc)
-                yield out
-
-    return parts.where(F.col("part") == part).select("doc_id", "content").mapInPandas(run, f"doc_id {id_type}, {schema}")
+                    rows = []
+                held += rows
+                doc += [i] * len(rows)
+                if len(held) >= BATCH_ROWS or (held and i == batch.num_rows - 1):
+                    values = [pa.array(v, types[k]) for v, k in zip(zip(*held), kinds)]
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(doc, pa.int32())), *values], ["doc_id", *columns])
+                    held, doc = [], []
+
+    return parts.where(F.col("part") == part).select("doc_id", "content").mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
 def _val(el, path, attr="val"):
