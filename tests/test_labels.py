@@ -69,3 +69,10 @@ def test_prefix_strip_is_a_suffix(spark):
     texts = ["".join(rnd.choice(tokens) + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 6))) for _ in range(300)]
     for text, title in zip(texts, apply(spark, texts, lambda c: L.strip_heading_prefix(c)["title"])):
         assert text.endswith(title)
+
+
+def test_strip_takes_what_the_pattern_takes_without_one(spark):
+    rows = [(chr(c) + "a" + chr(c),) for c in range(1, 0x3100)] + [("　\t x   y\x85\n",), ("​z​",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select(L.strip("t").alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b"))
+    assert df.where("NOT (a <=> b)").count() == 0
+    assert "regexp" not in str(L.strip("t")).lower()
