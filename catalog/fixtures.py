@@ -1,19 +1,17 @@
 """Seeded views over the given tables, in SQL that Spark and DuckDB both accept.
 
 A document is a block of 50 consecutive orders. Positions are arithmetic (order within the
-block, line within the order); only the line-within-order number needs an ordered scan,
-which Spark does with the library's split scan and DuckDB with row_number.
+block, line within the order); only the line-within-order number needs an order, which both
+engines do with row_number.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.operators.scan import row_number, scan
-
 NOUN = ("CASE pk % 11 WHEN 0 THEN 'Faculty' WHEN 1 THEN 'Students' WHEN 2 THEN 'Leave' WHEN 3 THEN 'Travel' "
         "WHEN 4 THEN 'Grants' WHEN 5 THEN 'Safety' WHEN 6 THEN 'Records' WHEN 7 THEN 'Committees' WHEN 8 THEN 'Appeals' "
         "WHEN 9 THEN 'Hiring' ELSE 'Duties' END")
@@ -237,7 +235,8 @@ class Source:
     def _lines(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                            "l_extendedprice", "l_returnflag", "l_linestatus")
-        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
-        part = F.struct("l_linenumber", F.floor(F.col("l_partkey") / (1 << 18)))
-        scan(li, ["l_orderkey"], order, {"n": row_number()}, chunk=part).createOrReplaceTempView("numbered_lines")
+        # An order is short by the positions above, so a window per order does; it needs one exchange, which is the same wherever the
+        # lines are read, and no join.
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+        li.withColumn("n", F.row_number().over(w)).createOrReplaceTempView("numbered_lines")
         return self.spark.sql(LINES.format(n="1 AS _u").replace("(SELECT *, 1 AS _u FROM lineitem) t", "numbered_lines"))
