@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.binding import bind
+
 NOUN = ("CASE pk % 11 WHEN 0 THEN 'Faculty' WHEN 1 THEN 'Students' WHEN 2 THEN 'Leave' WHEN 3 THEN 'Travel' "
         "WHEN 4 THEN 'Grants' WHEN 5 THEN 'Safety' WHEN 6 THEN 'Records' WHEN 7 THEN 'Committees' WHEN 8 THEN 'Appeals' "
         "WHEN 9 THEN 'Hiring' ELSE 'Duties' END")
@@ -19,6 +21,9 @@ ROMAN = "CASE sk % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'IV' WHEN 3 TH
 LETTER = "chr(CAST(65 + pk % 4 AS INT))"
 A = "CAST(sk % 9 + 1 AS STRING)"
 C = "CAST(1 + ln % 3 AS STRING)"
+WORDS = {"noun_": NOUN, "roman_": ROMAN, "letter_": LETTER}
+# Texts that the operators read many times over.
+BOUND = {"fx_headings": "text", "fx_numbered": "text", "fx_paras": "text", "fx_refs": "label"}
 
 LINES = """
 SELECT CAST(floor(l_orderkey / 50) AS BIGINT) doc_id, CAST((l_orderkey % 50) * 4096 + n AS INT) pos, l_orderkey k,
@@ -207,6 +212,12 @@ def spark_text(sql: str) -> str:
         rows = re.sub(r"(?<![\w'])\((?=['0-9])", "struct(", m.group(1))
         return f"LATERAL VIEW inline(array({rows})) v AS {m.group(2)}"
 
+    # Words of a line that a text names in many places are worked out once; each place would carry the code of all of them.
+    used = {name: text for name, text in WORDS.items() if text in sql}
+    for name, text in used.items():
+        sql = sql.replace(text, name)
+    if used:
+        sql = sql.replace("FROM fx_lines", f"FROM fx_lines LATERAL VIEW inline(array(struct({', '.join(used.values())}))) w AS {', '.join(used)}")
     return re.sub(r"CROSS JOIN \(VALUES\s+(.*?)\) v\(([\w, ]+)\)", expand, sql, flags=re.S).replace('"end"', "`end`")
 
 
@@ -229,7 +240,8 @@ class Source:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._lines() if name == "fx_lines" else self.sql(SQL[name]) if name in SQL else self.table(name)
+            df = self._lines() if name == "fx_lines" else self.sql(SQL[name]) if name in SQL else self.table(name)
+            self._made[name] = bind(df, {BOUND[name]: F.col(BOUND[name])}).select(*df.columns) if name in BOUND else df
         return self._made[name]
 
     def _lines(self) -> DataFrame:
