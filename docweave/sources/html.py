@@ -29,6 +29,8 @@ BATCH_ROWS = 20_000
 #: Markup that reads the same in every parser: plain elements with quoted or simple values and text up to the next element. From anything else on, a page goes through HTMLParser.
 _PLAIN = re.compile(r'''<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9-]*=(?:"[^"<>&]*"|[a-zA-Z0-9_.-]+(?=[ \t\n>])))*)[ \t\n]*>|([^<]+)''')
 _PLAIN_ATTR = re.compile(r'''([a-zA-Z][a-zA-Z0-9-]*)=(?:"([^"]*)"|([a-zA-Z0-9_.-]+))''')
+#: Content of scripts and styles, which reads the same in every parser if nothing in it looks like markup.
+_RAW_END = {t: re.compile(rf"([^<]*)</{t}>", re.I) for t in ("script", "style")}
 #: Elements whose content is not markup.
 _OPAQUE = frozenset("script style textarea title iframe noembed noframes noscript plaintext xmp".split())
 
@@ -64,8 +66,18 @@ class _Reader(HTMLParser):
                 self.pending.append(unescape(text) if "&" in text else text)
             else:
                 tag = tag.lower()
-                if tag in _OPAQUE or closing and attrs:
+                if closing and attrs:
                     break
+                if tag in _OPAQUE:
+                    raw = None if closing or tag not in _RAW_END else _RAW_END[tag].match(html, m.end())
+                    if raw is None:
+                        break
+                    self.handle_starttag(tag, [(k.lower(), v or w) for k, v, w in _PLAIN_ATTR.findall(attrs)] if attrs else ())
+                    if raw[1]:
+                        self.pending.append(raw[1])
+                    self.handle_endtag(tag)
+                    at = raw.end()
+                    continue
                 if closing:
                     self.handle_endtag(tag)
                 else:

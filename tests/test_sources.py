@@ -105,6 +105,22 @@ def test_map_sinks_round_trip(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).count() == 3
 
 
+def test_scripts_and_styles_do_not_send_a_page_to_the_general_parser(monkeypatch):
+    page = '<style>p {a: "&amp;"}</style><p onclick="go()">a &amp; b<script src="x">if (a &amp;&amp; b) go()</script><SCRIPT></SCRIPT> c</p><h1>t</h1>'
+    odd = page + "<script>a < b</script><p>d</p>"
+    general = [S._Reader(), S._Reader()]
+    for reader, html in zip(general, (page, odd)):
+        reader.read("<!-- -->" + html)
+    mixed = S._Reader()
+    mixed.read(odd)
+    assert mixed.text == general[1].text[1:] and mixed.inner == general[1].inner[1:]
+    monkeypatch.setattr(S._Reader, "feed", lambda self, data: (_ for _ in ()).throw(AssertionError("HTMLParser was asked")))
+    plain = S._Reader()
+    plain.read(page)
+    for name in ("kind", "tag", "text", "inner", "names", "values"):
+        assert getattr(plain, name) == getattr(general[0], name)[(0 if name in ("names", "values") else 1):]
+
+
 def test_plain_markup_is_read_without_the_general_parser(spark, monkeypatch):
     page = '<div class="m"><table><tr><th colspan=2>A &amp; B</th></tr><tr><td id="x">1</td><td>2</td></tr></table><ol type="a"><li>x<ol><li>y</li></ol></li></ol></div>'
     general = S._Reader()
