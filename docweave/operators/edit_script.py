@@ -19,6 +19,8 @@ from ..session import durable
 from .scan import Spec, last_value, running_max, scan
 
 DOC = ["doc_id"]
+#: Rows of two numbers that are sent to all tasks instead of moving what they are joined to.
+FEW = 100_000
 #: Elements without content.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
@@ -38,12 +40,16 @@ def place(*numbers) -> Column:
     return F.array(*[(F.lit(n) if isinstance(n, int) else n).cast("long") for n in numbers])
 
 
-def outside(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Nodes that lie in none of the ranges (doc_id, start, end)."""
-    ends = ranges.groupBy("doc_id", F.col("start").alias("node_idx")).agg(F.max("end").alias("_end"))
-    marked = nodes.join(ends, ["doc_id", "node_idx"], "left")
-    marked = scan(marked, DOC, ["node_idx"], {"_last": running_max(F.col("_end"))})
-    return marked.where(F.col("_last").isNull() | (F.col("_last") < F.col("node_idx"))).select(*nodes.columns)
+def outside(nodes: DataFrame, ranges: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Nodes that lie in none of the ranges (doc_id, start, end). A range starts at a node; a null id has no ranges. among: a table that holds all the nodes,
+    where that is cheaper to read."""
+    # A range is one more row in front of its first node, so that one ordered scan of numbers does without a join. The wide rows are not sorted.
+    ends = ranges.where("doc_id IS NOT NULL").select("doc_id", F.col("start").cast(nodes.schema["node_idx"].dataType).alias("node_idx"), F.col("end").alias("_end"), F.lit(False).alias("_node"))
+    rows = (nodes if among is None else among).select("doc_id", "node_idx", F.lit(True).alias("_node")).unionByName(ends, allowMissingColumns=True)
+    marked = scan(rows, DOC, ["node_idx", "_node"], {"_last": running_max(F.col("_end"))})
+    gone = durable(marked.where("_node AND _last >= node_idx").select("doc_id", "node_idx").distinct())
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash")
+    return nodes.join(gone, ["doc_id", "node_idx"], "left_anti").select(*nodes.columns)
 
 
 class EditScript:
@@ -68,7 +74,8 @@ class EditScript:
 
     def _all(self, kind: str) -> DataFrame | None:
         own = self._parts.get(kind)
-        return reduce(DataFrame.unionByName, own) if own else None
+        # Edits are as many as the corpus is long but short when compressed: merge joins keep them out of the driver.
+        return reduce(DataFrame.unionByName, own).hint("merge") if own else None
 
     def delete(self, df: DataFrame) -> EditScript:
         """df(doc_id, start, end)"""

@@ -30,23 +30,25 @@ def _without(style, name: str) -> Column:
 def front_matter(live: DataFrame, roots: DataFrame, ahead: int = 5, least_text: int = 20, listed_text: int = 100) -> DataFrame:
     """(doc_id, start, end, reason) of what stands in front of the text: a contents heading with the siblings up to the next heading, and
     all siblings before the first chapter heading that content follows. roots(doc_id, root_idx, root_end)."""
-    elements = live.where("kind = 'tag'").select("doc_id", F.coalesce("parent_idx", F.lit(-1)).alias("parent"), "node_idx", "end_idx", "tag", F.coalesce("inner", F.lit("")).alias("inner"))
-    is_heading = F.col("tag").rlike(HEADING)
-    contents = is_heading & L.has("inner", K.TOC_TITLE, True)
-    groups = elements.where(contents).select(*SIBLINGS).distinct()
-    near = scan(elements.join(groups, SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"_in": last_value(F.when(is_heading, contents))})
-    listed = durable(near.where("_in").select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"), F.lit("contents").alias("reason")))
-    rest = outside(elements, listed)
-
-    t = L.strip("inner")
+    # What the text says is taken from it once; only these answers are ordered and joined, not the texts.
+    inner = F.coalesce("inner", F.lit(""))
+    is_heading, t = F.col("tag").rlike(HEADING), L.strip(inner)
     entry = t.contains("\t") | (L.has(t, r"\s+\d+\s*$") & (F.length(t) < listed_text))
-    inside = rest.join(roots.select("doc_id", "root_idx", "root_end"), "doc_id").where("node_idx > root_idx AND node_idx <= root_end")
-    chapters = inside.where((F.col("tag") == "h1") & L.has(t, K.LABEL_WORD, True) & ~entry).select(*SIBLINGS, F.col("node_idx").alias("chapter"))
-    rows = durable(scan(rest.join(chapters.select(*SIBLINGS).distinct(), SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"n": row_number()}))
     rich = F.col("tag").isin("h2", "h3", "h4", "h5", "h6", "table") | ((F.col("tag") == "p") & (F.length(t) > least_text))
+    elements = durable(live.where("kind = 'tag'").select(
+        "doc_id", F.coalesce("parent_idx", F.lit(-1)).alias("parent"), "node_idx", "end_idx", "tag", F.when(is_heading, L.has(inner, K.TOC_TITLE, True)).alias("contents"),
+        F.when(F.col("tag") == "h1", L.has(t, K.LABEL_WORD, True) & ~entry).alias("opens"), rich.alias("rich")))
+    groups = elements.where("contents").select(*SIBLINGS).distinct()
+    near = scan(elements.select(*SIBLINGS, "node_idx", "end_idx", "contents").join(groups, SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"_in": last_value(F.col("contents"))})
+    listed = durable(near.where("_in").select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"), F.lit("contents").alias("reason")))
+    rest = durable(outside(elements.drop("contents"), listed))
+
+    inside = rest.where("opens").join(roots.select("doc_id", "root_idx", "root_end"), "doc_id").where("node_idx > root_idx AND node_idx <= root_end")
+    chapters = durable(inside.select(*SIBLINGS, F.col("node_idx").alias("chapter")))
+    rows = durable(scan(rest.drop("opens").join(chapters.select(*SIBLINGS).distinct(), SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"n": row_number()}))
     at = chapters.join(rows.select(*SIBLINGS, F.col("node_idx").alias("chapter"), "n"), [*SIBLINGS, "chapter"])
     follow = at.select(*SIBLINGS, "chapter", F.posexplode(F.sequence(F.col("n") + 1, F.col("n") + ahead)).alias("d", "n"))
-    look = follow.join(rows.select(*SIBLINGS, "n", "tag", rich.alias("rich")), [*SIBLINGS, "n"]).groupBy(*SIBLINGS, "chapter").agg(
+    look = follow.join(rows.select(*SIBLINGS, "n", "tag", "rich"), [*SIBLINGS, "n"]).groupBy(*SIBLINGS, "chapter").agg(
         F.min(F.when(F.col("rich"), F.col("d"))).alias("hit"), F.min(F.when(F.col("tag") == "h1", F.col("d"))).alias("stop"))
     first = look.where("hit IS NOT NULL AND (stop IS NULL OR hit < stop)").groupBy("doc_id").agg(F.min(F.struct("chapter", "parent")).alias("f"))
     before = rows.join(first.select("doc_id", F.col("f.parent").alias("parent"), F.col("f.chapter").alias("chapter")), SIBLINGS).where("node_idx < chapter")
@@ -97,6 +99,7 @@ def list_styles(script: EditScript, live: DataFrame, typed: DataFrame) -> DataFr
 
 def table_parts(live: DataFrame) -> dict[str, DataFrame]:
     """Cells with tables numbered among those that are left, the tables, rows and row groups behind them."""
+    live = T.long(live)
     tables = live.where("tag = 'table'").select("doc_id", F.col("ord").alias("old"), "node_idx", "end_idx", "attrs")
     tables = durable(scan(tables, ["doc_id"], ["node_idx"], {"n": row_number()}).select("doc_id", "old", (F.col("n") - 1).cast("int").alias("table_idx"), "node_idx", "end_idx", "attrs"))
     cells = S.html_cells(live).withColumnRenamed("table_idx", "old").join(tables.select("doc_id", "old", "table_idx"), ["doc_id", "old"]).drop("old")
@@ -110,7 +113,7 @@ def table_parts(live: DataFrame) -> dict[str, DataFrame]:
 
 def table_headers(script: EditScript, parts: dict[str, DataFrame], overrides: DataFrame | None = None) -> DataFrame:
     """Title rows become captions, rows are promoted to or demoted from headers. Returns the cells with their new roles and the title rows."""
-    cells, tables, rows = parts["cells"], parts["tables"], parts["rows"]
+    cells, tables, rows = (T.long(parts[name]) for name in ("cells", "tables", "rows"))
     fixed = durable(T.repair_table_headers(cells, overrides))
     by_row = fixed.groupBy("doc_id", "table_idx", "row_idx").agg(F.max("role").alias("role"), F.max(F.when(F.col("role") == "caption", L.strip("text"))).alias("title"))
     r = durable(by_row.join(rows, ["doc_id", "row_idx"]).join(tables.select("doc_id", "table_idx", F.col("node_idx").alias("t_idx"), "thead", "tbody", "caption"), ["doc_id", "table_idx"]))
@@ -138,6 +141,7 @@ def table_headers(script: EditScript, parts: dict[str, DataFrame], overrides: Da
 def table_layout(script: EditScript, live: DataFrame, parts: dict[str, DataFrame], fixed: DataFrame, settings, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """Alignment, scope and placement of what the header repair left. settings has align_mode, col1 to col3, coln and header."""
     key = ["doc_id", "table_idx", "row_idx", "cell_idx"]
+    live, parts = T.long(live), {name: T.long(df) for name, df in parts.items()}
     now = fixed.where("role <> 'caption'").select(*key, "tag", "in_thead", "scope", "text").join(parts["cells"].select(*key, "colspan", "rowspan"), key)
     grid = durable(T.table_grid(now))
     own = live.where("tag IN ('td', 'th')").select("doc_id", F.col("node_idx").alias("cell_idx"), "attrs")

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions.table_functions import register_tables
+from docweave.operators import edit_script, tables as T
 from docweave.operators.edit_script import EditScript
 from docweave.plans import corpus as C
+from docweave.session import durable
 from docweave.sources import html as S
 
 PAGE = '''<html><head><style>x</style></head><body><p>Cover</p><h1>Table of Contents</h1><p>Chapter 1 .... 3</p><ul><li>x</li></ul><h1>Chapter 1 - Rules</h1>
@@ -43,6 +45,32 @@ def test_page_through_every_pass(spark):
         out["nothing"]
 
 
+def test_nodes_outside_of_ranges_are_not_ordered(spark, monkeypatch):
+    nodes = spark.createDataFrame([(d, i, f"t{i}") for d in (1, 2, None) for i in range(8)] + [(1, 3, "again")], "doc_id long, node_idx int, text string")
+    ranges = spark.createDataFrame([(1, 2, 4), (1, 3, 3), (1, 6, 6), (2, 0, 7), (None, 0, 7)], "doc_id long, start int, end int")
+    want = sorted([(None, i) for i in range(8)] + [(1, i) for i in (0, 1, 5, 7)], key=str)
+    for few in (edit_script.FEW, 0):
+        monkeypatch.setattr(edit_script, "FEW", few)
+        out = edit_script.outside(nodes, ranges)
+        assert sorted(((r.doc_id, r.node_idx) for r in out.collect()), key=str) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan
+    assert edit_script.outside(nodes, ranges.limit(0)).count() == 25
+
+
+def test_tables_as_long_as_the_corpus_are_not_broadcast(spark):
+    cells = durable(spark.range(4000).select(
+        F.floor(F.col("id") / 40).alias("doc_id"), F.floor(F.col("id") % 40 / 20).cast("int").alias("table_idx"), F.floor(F.col("id") % 20 / 4).cast("int").alias("row_idx"),
+        (F.col("id") % 4).cast("int").alias("cell_idx"), F.lit("td").alias("tag"), F.lit(False).alias("in_thead"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"),
+        F.lit("7").alias("text"), F.lit(None).cast("string").alias("scope")))
+    modes = cells.select("doc_id", "table_idx", F.lit("table_aligns").alias("kind"), F.lit("auto").alias("mode")).distinct()
+    grid = durable(T.table_grid(cells))
+    for df in (T.table_grid(cells), T.align_cells(grid, overrides=modes), T.repair_table_headers(cells, modes)):
+        assert df.count() == 4000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_edits_of_one_document(spark):
     nodes = S.html_nodes(spark.createDataFrame([(1, "<div a='1' b='2'><p>one <b>two</b> three</p><i>x</i></div><p>end</p>")], "doc_id long, html string"))
     at = {r.tag or r.text: (r.node_idx, r.end_idx) for r in nodes.collect()}
