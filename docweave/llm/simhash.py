@@ -253,6 +253,8 @@ SHINGLE = 5
 COMMON_FROM, SAMPLED, COMMON = 3, 16, 200_000
 #: Shingles of a text that look for its hub.
 HEAD = 12
+#: Numbers of 64 bits that say of a text's shingles whether an odd number fall on each bit.
+PARITY = 8
 
 
 def _ranks(words: list[bytes]) -> np.ndarray:
@@ -286,24 +288,39 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r["sh"] for r in rows.select("sh").collect()), dtype=np.int64)
 
 
-def _prefixes(common: np.ndarray, similarity: float):
-    """Column function text -> digest, number of shingles, and prefix: the first shingles in the order of hashes, common ones last."""
+def _parity(s: np.ndarray) -> np.ndarray:
+    """One bit per class of shingles: whether the text has an odd number of them. Two texts differ in at least as many shingles as in bits."""
+    odd = np.bincount(s & (PARITY * 64 - 1), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _marks(common: np.ndarray, similarity: float):
+    """Column function text -> digest, number of shingles, prefix (the first shingles in the order of hashes, common ones last), fingerprint as
+    ``fingerprint()`` has it, and parity bits."""
     def one(t: str | None) -> dict:
         words = [w.lower() for w in words_of(t)]
         s = _ranks(words)
+        bits, fp = _parity(s), np.array([majority(shingles(words, 3))], dtype=np.uint64).view(np.int64)[0]
         if len(common) and len(s):
             hot = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
             s = np.concatenate([s[~hot], s[hot] + (1 << 62)])
-        return {"node": xxhash.xxh3_128_hexdigest(b" ".join(words)), "n": len(s), "prefix": s[:len(s) - int(_rest(np.array(len(s)), similarity))] if len(s) else s}
+        return {"node": xxhash.xxh3_128_hexdigest(b" ".join(words)), "n": len(s), "prefix": s[:len(s) - int(_rest(np.array(len(s)), similarity))] if len(s) else s,
+                "fp": int(fp), "bits": bits}
 
-    kind = pa.struct([("node", pa.string()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    kind = pa.struct([("node", pa.string()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("fp", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("node string, n long, prefix array<long>")
+    @F.arrow_udf("node string, n long, prefix array<long>, fp long, bits array<long>")
     def of(text: pa.Array) -> pa.Array:
         return in_slices(text, 64, lambda part: [one(t) for t in part], kind)
     return of
 
 
+def _possible(similarity: float) -> Column:
+    """Of texts (n_x, bits_x) and (n_y, bits_y): whether they may be this similar, which allows them only so many shingles that one of them lacks."""
+    apart = reduce(Column.__add__, [F.bit_count(F.get("bits_x", F.lit(k)).bitwiseXOR(F.get("bits_y", F.lit(k)))) for k in range(PARITY)])
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6
+
+
 def text_similarity(x: str | None, y: str | None) -> float:
     """Share of common five-word shingles among all of both texts; 1 for two texts without words."""
     s, t = (set(shingles([w.lower() for w in words_of(z)], SHINGLE)) for z in (x, y))
@@ -316,13 +333,13 @@ def shingle_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Those of the links (a, b) whose whole texts are alike."""
+    """Those of the links (a, b, any more columns) whose whole texts are alike."""
     wanted = durable(links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "wanted")
     # A text comes with its smallest id; the digest is taken again, as an id may have several texts.
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("_first")).distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select(_digest("text").alias("node"), "text")
     texts = durable(texts.join(wanted.select("node"), "node").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
     pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return durable(pairs.select("a", "b", shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select("a", "b"), "verified")
+    return durable(pairs.select(*links.columns, shingle_similarity("left", "right").alias("alike")).where(F.col("alike") >= similarity).select(*links.columns), "verified")
 
 
 def _jump(tree: DataFrame, what: str) -> DataFrame:
@@ -331,38 +348,58 @@ def _jump(tree: DataFrame, what: str) -> DataFrame:
     return durable(tree.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), what)
 
 
-def similar_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes: one row per distinct text (node, first, n, prefix). (node, root) for every text with words: texts that pairs of this similarity
-    connect have one root.
+def fingerprint_links(nodes: DataFrame, budget: int = 2, leaf: int = 65_536) -> DataFrame:
+    """Links (a, b) of keys: every text to the first text of its fingerprint, and the first texts of fingerprints that the trie join links."""
+    hubs = durable(nodes.groupBy("fp").agg(F.min("key").alias("hub")), "fingerprint-hubs")
+    equal = nodes.select("fp", "key").join(hubs, "fp").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = trie_links(hubs, budget, leaf).join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return equal.unionByName(near)
 
-    Each text is first compared with one other: of the texts that share one of the first ``HEAD`` shingles of both prefixes, the most central is
-    the shingle's hub, and a text goes to the more central hub that it shares most with. These links are a forest; two jumps up bring nearly every
-    text to its top. Then every pair of a shared prefix shingle whose tops differ is counted, and verified unless its common prefix shingles and
-    what follows the shorter prefix cannot reach the similarity. Components are those of the tops.
 
-    Postings move as two numbers, a shingle's and a text's; what a text brings (length, end of its prefix, root) is joined to those that are left."""
+def similar_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: one row per distinct text (node, key, first, n, prefix, fp, bits). (node, root) for every text with words: texts that pairs of this
+    similarity connect have one root.
+
+    Fingerprints come first: the links of the trie join are verified on the whole texts, and their components are the first groups. Pairs of this
+    similarity whose fingerprints are further apart, or whose link the trie's forest left to others, are found by an exact way among texts of
+    different groups. There each text is first compared with one other: of the texts that share one of the first ``HEAD`` shingles of both
+    prefixes, the most central is the shingle's hub, and a text goes to the more central hub that it shares most with; a group goes where most of
+    its texts go, and two jumps up bring nearly every group to its top. Then every pair of a shared prefix shingle whose tops differ is counted,
+    unless lengths or parity bits rule it out, and verified unless its common prefix shingles and what follows the shorter prefix cannot reach the
+    similarity. Components are those of the tops.
+
+    Postings move as two numbers, a shingle's and a text's; what a text brings (length, end of its prefix, root, bits) is joined to those that are left."""
     nodes = nodes.where("n > 0")
-    first = _verified(docs, nodes, _stars(nodes, similarity), similarity)
-    tree = _jump(_jump(first.select(F.col("a").alias("node"), F.col("b").alias("root")), "parents"), "tops")
-    rooted = durable(nodes.select("node", "n", "prefix").join(tree, "node", "left").select(
-        F.xxhash64("node").alias("key"), "node", F.col("n").cast("int").alias("n"), F.element_at("prefix", -1).alias("end"), F.coalesce("root", "node").alias("top"), "prefix"), "roots")
+    found = fingerprint_links(nodes).withColumn("by_trie", F.lit(True)).unionByName(_stars(nodes, similarity).withColumn("by_trie", F.lit(False)))
+    side = lambda k, node, z: nodes.select(F.col("key").alias(k), F.col("node").alias(node), F.col("n").alias("n" + z), F.col("bits").alias("bits" + z))
+    found = found.toDF("key_a", "key_b", "by_trie").join(side("key_a", "a", "_x"), "key_a").join(side("key_b", "b", "_y"), "key_b").where(_possible(similarity))
+    first = _verified(docs, nodes, durable(found.groupBy("a", "b").agg(F.max("by_trie").alias("by_trie")), "first-links"), similarity)
+    group = durable(components(first.where("by_trie").select("a", "b")), "trie-groups")
+    ends = first.where("NOT by_trie").join(group.toDF("a", "ra"), "a", "left").join(group.toDF("b", "rb"), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("node"), F.coalesce("rb", "b").alias("up")).where("node <> up").groupBy("node", "up").agg(F.count("*").alias("c"))
+    ends = ends.groupBy("node").agg(F.max(F.struct("c", "up")).alias("m")).select("node", F.col("m.up").alias("root"))
+    tree = _jump(_jump(durable(ends, "parents"), "parents"), "tops")
+    member = group.unionByName(tree.join(group, "node", "left_anti").select("node", F.col("node").alias("root")))
+    tree = durable(member.join(tree.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "tops")
+    rooted = durable(nodes.select("node", "key", "n", "prefix", "bits").join(tree, "node", "left").select(
+        "key", "node", F.col("n").cast("int").alias("n"), F.element_at("prefix", -1).alias("end"), F.coalesce("root", "node").alias("top"), "prefix", "bits"), "roots")
     rooted = rooted.withColumn("root", F.xxhash64("top"))
     # Shingles of several roots, by partial aggregation: a shingle of very many texts is one row a task.
     apart = rooted.select(F.explode("prefix").alias("sh"), "root").groupBy("sh").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     apart = durable(apart.where("low <> high").select("sh"), "apart")
     left = durable(rooted.select("key", F.explode("prefix").alias("sh")).join(apart, "sh", "left_semi"), "postings")
-    left = durable(left.join(rooted.select("key", "n", "end", "root"), "key"), "placed")
-    x, y = (left.select("sh", *[F.col(c).alias(c + s) for c in ("key", "n", "end", "root")]) for s in ("_x", "_y"))
+    left = durable(left.join(rooted.select("key", "n", "end", "root", "bits"), "key"), "placed")
+    x, y = (left.select("sh", *[F.col(c).alias(c + s) for c in ("key", "n", "end", "root", "bits")]) for s in ("_x", "_y"))
     alike = (F.col("n_x") >= similarity * F.col("n_y") - 1e-6) & (F.col("n_y") >= similarity * F.col("n_x") - 1e-6)
-    pairs = x.join(y, (x["sh"] == y["sh"]) & (F.col("key_x") < F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & alike)
+    pairs = x.join(y, (x["sh"] == y["sh"]) & (F.col("key_x") < F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & alike & _possible(similarity))
     pairs = pairs.groupBy("key_x", "key_y", "n_x", "n_y", "end_x", "end_y").agg(F.count("*").alias("c"))
     # Whatever is common and not counted comes after the prefix that ends first.
     rest = F.ceil(similarity * F.when(F.col("end_x") <= F.col("end_y"), F.col("n_x")).otherwise(F.col("n_y")) - 1e-9) - 1
     near = durable(pairs.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6).select("key_x", "key_y"), "candidates")
     names = rooted.select("key", "node")
     named = near.join(names.toDF("key_x", "a"), "key_x").join(names.toDF("key_y", "b"), "key_y").select("a", "b")
-    # A link of the forest joins two tops only where a text lies deeper than the jumps reach.
-    links = _verified(docs, nodes, durable(named, "named"), similarity).unionAll(first)
+    # A link of the first ones joins two tops only where a text lies deeper than the jumps reach.
+    links = _verified(docs, nodes, durable(named, "named"), similarity).unionAll(first.select("a", "b"))
     tops = rooted.select("node", "top")
     crossing = links.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b").where("top_a <> top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
     group = durable(components(crossing).toDF("top", "root"), "groups-of-tops")
@@ -370,33 +407,35 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 
 
 def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of a text to one more central hub, at most one per text. They only save pairs later, so a few shingles of each text will do."""
-    heads = durable(nodes.select("node", "n", F.explode(F.slice("prefix", 1, HEAD)).alias("sh")), "heads")
+    """Links (a, b) of a text's key to one more central hub, at most one per text. They only save pairs later, so a few shingles of each text will do."""
+    heads = durable(nodes.select("key", "n", F.explode(F.slice("prefix", 1, HEAD)).alias("sh")), "heads")
     # The written counts and hubs let a shingle of very many texts be split among tasks when they are joined back.
     counts = durable(heads.groupBy("sh").agg(F.count("*").alias("many")).where("many > 1"), "counts")
     shared = heads.join(counts, "sh")
-    central = shared.groupBy("node").agg(F.sum("many").alias("central"))
-    posted = durable(shared.select("sh", "node", "n").join(central, "node"), "posted")
-    hubs = durable(posted.groupBy("sh").agg(F.max(F.struct("central", "n", "node")).alias("hub")).select("sh", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    central = shared.groupBy("key").agg(F.sum("many").alias("central"))
+    posted = durable(shared.select("sh", "key", "n").join(central, "key"), "posted")
+    hubs = durable(posted.groupBy("sh").agg(F.max(F.struct("central", "n", "key")).alias("hub")).select("sh", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     # A shingle's hub is its most central text, so each link goes up in one order and no links form a circle.
-    near = posted.join(hubs, "sh").where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
-    stars = near.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
-    return durable(stars.select(F.col("node").alias("a"), F.col("m.hub").alias("b")), "stars")
+    near = posted.join(hubs, "sh").where((F.col("key") != F.col("hub")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
+    stars = near.groupBy("key", "hub").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "hub")).alias("m"))
+    return durable(stars.select(F.col("key").alias("a"), F.col("m.hub").alias("b")), "stars")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, of which each group of near copies keeps the one with the smallest doc_id.
 
     Texts of the same words, in order, are one group. Other texts are linked if at least ``similarity`` of their five-word shingles are
-    common; groups are the connected components. Candidates come from an exact prefix filter over the shingles, common ones last:
-    no pair of this similarity is missed. Pairs that verified links already connect are not compared again.
+    common; groups are the connected components. Candidates come from the trie join over fingerprints, as in ``near_duplicates``; for pairs whose
+    fingerprints are too far apart, an exact prefix filter over the shingles, common ones last, follows among texts that the verified links do not
+    connect yet: no pair of this similarity is missed.
 
     Cases: null and empty texts are one group; of repeated rows one stays; a null id goes before all others only if its group has
     no other; an empty table gives an empty table."""
     key = fresh(docs, "_marks")
-    prefixes = _prefixes(common_shingles(docs), similarity)
-    marked = docs.select("doc_id", prefixes("text").alias("m")).select("doc_id", "m.*")
-    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    marks = _marks(common_shingles(docs), similarity)
+    marked = docs.select("doc_id", marks("text").alias("m")).select("doc_id", "m.*")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", "fp", "bits")])
+    nodes = durable(nodes.withColumn("key", F.xxhash64("node")), "texts")
     group = durable(similar_groups(docs, nodes, similarity), "text-groups")
     rooted = durable(nodes.select("node", "first").join(group, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     stays = durable(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "stays")

@@ -94,3 +94,42 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame(list(zip(chain, chain[1:])) + [(900, 901)], "a long, b long")
     got = {r["node"]: r["root"] for r in M.components(links).collect()}
     assert got == {**{n: 0 for n in chain}, 900: 900, 901: 900}
+
+
+def test_near_copies_go_through_the_trie(spark, monkeypatch):
+    """The pipeline's groups start from the trie join of fingerprints, in which only whole-text checks take links away."""
+    rng, calls, join = random.Random(21), [], M.trie_links
+    own = [f"w{rng.randrange(9000)}" for _ in range(800)]
+    edited = (" ".join(own[:300 + k] + ["new"] + own[300 + k:]) for k in range(400))
+    edited = next(t for t in edited if 0 < (plain_fingerprint(t) ^ plain_fingerprint(" ".join(own))).bit_count() <= 2)
+    texts = [" ".join(own), edited, " ".join(rng.sample(own, 800)), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def spy(fps, *more):
+        out = join(fps, *more).collect()
+        calls.append(({r["fp"] for r in fps.collect()}, {frozenset((r["a"], r["b"])) for r in out}))
+        return spark.createDataFrame(out, "a long, b long")
+
+    monkeypatch.setattr(M, "trie_links", spy)
+    assert {r["doc_id"] for r in M.drop_near_duplicates(docs).collect()} == {0, 2, 3}
+    fps = np.array([plain_fingerprint(t) for t in texts[:3]], dtype=np.uint64).view(np.int64).tolist()
+    assert calls[0][0] == set(fps) and calls[0][1] == {frozenset(fps[:2])} and len(calls) == 1
+
+
+def test_parity_bits_only_rule_out_what_is_unlike(spark):
+    """Texts that share a passage are no pair before they are counted; pairs at the limit stay."""
+    rng = random.Random(22)
+    rows, alike = [], []
+    passage = [f"p{i}" for i in range(60)]
+    for k in range(40):
+        own = passage + [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 900))]
+        cut = list(own) if k % 2 else [f"w{rng.randrange(5000)}" for _ in own]
+        for _ in range(len(own) // 60 if k % 2 else 0):
+            cut[rng.randrange(len(cut))] = "new"
+        sets = [M._ranks([w.encode() for w in x]) for x in (own, passage + cut[60:])]
+        both = len(np.intersect1d(*sets))
+        alike.append(both / (len(sets[0]) + len(sets[1]) - both) >= 0.8)
+        rows.append((k, *(len(s) for s in sets), *(M._parity(s).tolist() for s in sets)))
+    got = {r["k"] for r in spark.createDataFrame(rows, "k long, n_x long, n_y long, bits_x array<long>, bits_y array<long>").where(M._possible(0.8)).collect()}
+    assert {k for k, a in enumerate(alike) if a} <= got and any(alike)
+    assert not got & {k for k in range(0, 40, 2)}
