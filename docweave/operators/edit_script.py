@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..session import durable
-from .scan import Spec, last_value, running_max, scan
+from .scan import Spec, last_value, scan
 
 DOC = ["doc_id"]
-#: Rows of two numbers that are sent to all tasks instead of moving what they are joined to.
-FEW = 100_000
+#: Rows of a few numbers that are sent to all tasks instead of moving what they are joined to.
+FEW = 300_000
 #: Elements without content.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
@@ -40,16 +40,32 @@ def place(*numbers) -> Column:
     return F.array(*[(F.lit(n) if isinstance(n, int) else n).cast("long") for n in numbers])
 
 
-def outside(nodes: DataFrame, ranges: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """Nodes that lie in none of the ranges (doc_id, start, end). A range starts at a node; a null id has no ranges. among: a table that holds all the nodes,
-    where that is cheaper to read."""
-    # A range is one more row in front of its first node, so that one ordered scan of numbers does without a join. The wide rows are not sorted.
-    ends = ranges.where("doc_id IS NOT NULL").select("doc_id", F.col("start").cast(nodes.schema["node_idx"].dataType).alias("node_idx"), F.col("end").alias("_end"), F.lit(False).alias("_node"))
-    rows = (nodes if among is None else among).select("doc_id", "node_idx", F.lit(True).alias("_node")).unionByName(ends, allowMissingColumns=True)
-    marked = scan(rows, DOC, ["node_idx", "_node"], {"_last": running_max(F.col("_end"))})
-    gone = durable(marked.where("_node AND _last >= node_idx").select("doc_id", "node_idx").distinct())
-    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash")
-    return nodes.join(gone, ["doc_id", "node_idx"], "left_anti").select(*nodes.columns)
+def numbers(df: DataFrame) -> DataFrame:
+    """A short table of numbers, written once: sent to all tasks if it has few rows, else a hashed side of an exchange."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= FEW else df.hint("shuffle_hash")
+
+
+def word_of(node_idx) -> Column:
+    """Which 64 nodes of its document a node is among."""
+    return F.shiftright(F.col(node_idx).cast("long"), 6)
+
+
+def words_of_range(start, end) -> Column:
+    """The sixty-fours that a range, both ends included, reaches into."""
+    return F.explode(F.sequence(word_of(start), word_of(end)))
+
+
+def outside(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Nodes that lie in none of the ranges (doc_id, start, end); a null id has no ranges. Nothing is ordered: ranges become one bit per node, 64 to a row, so
+    that nodes which are narrowed down later are narrowed down before they meet them."""
+    # One bit from the first node of the range in these 64 to the last.
+    low, high = F.greatest(F.col("start") - F.col("_word") * 64, F.lit(0)), F.least(F.col("end") - F.col("_word") * 64, F.lit(63))
+    bits = F.call_function("shiftleft", F.lit(-1).cast("long"), low.cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (63 - high).cast("int")))
+    reached = ranges.where("doc_id IS NOT NULL AND start <= end").select("doc_id", "start", "end", words_of_range("start", "end").alias("_word"))
+    gone = numbers(reached.groupBy(F.col("doc_id").alias("_of"), "_word").agg(F.bit_or(bits).alias("_bits")))
+    bit = F.getbit("_bits", F.col("node_idx").cast("long").bitwiseAND(F.lit(63)).cast("int"))
+    return nodes.join(gone, (F.col("doc_id") == F.col("_of")) & (word_of("node_idx") == F.col("_word")), "left").where(F.col("_bits").isNull() | (bit == 0)).select(*nodes.columns)
 
 
 class EditScript:

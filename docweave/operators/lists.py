@@ -19,12 +19,13 @@ def list_runs(children: DataFrame) -> DataFrame:
     """
     m = L.list_marker("text")
     df = children.withColumn("_m", F.when(F.col("tag") == "p", m))
-    df = df.withColumn("_type", F.col("_m.type"))
+    # Texts are not ordered, only what their markers say.
+    df = df.select("doc_id", "child_idx", "_m", F.col("_m.type").alias("_type"))
     df = durable(scan(df, ["doc_id"], ["child_idx"], {
         "_prev": last_value(F.struct(F.col("_type").alias("t")), inclusive=False)}))
     start = F.col("_type").isNotNull() & ~F.col("_type").eqNullSafe(F.col("_prev")["t"])
-    df = scan(df, ["doc_id"], ["child_idx"], {"run_id": running_sum(F.when(start, 1).otherwise(0))})
-    return df.where("_type IS NOT NULL").select(
+    df = scan(df.withColumn("_start", start).where("_type IS NOT NULL"), ["doc_id"], ["child_idx"], {"run_id": running_sum(F.when(F.col("_start"), 1).otherwise(0))})
+    return df.select(
         "doc_id", "child_idx", F.col("run_id").cast("long").alias("run_id"), F.col("_m.kind").alias("kind"),
         F.col("_m.value").alias("value"), F.col("_type").alias("type"))
 

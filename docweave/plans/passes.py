@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import labels as L
 from ..operators import lists as Li, references as R, tables as T
-from ..operators.edit_script import EditScript, outside, place
+from ..operators.edit_script import EditScript, numbers, outside, place, word_of, words_of_range
 from ..operators.scan import last_value, row_number, scan
 from ..session import durable
 from ..sources import html as S
@@ -39,13 +39,19 @@ def front_matter(live: DataFrame, roots: DataFrame, ahead: int = 5, least_text:
         "doc_id", F.coalesce("parent_idx", F.lit(-1)).alias("parent"), "node_idx", "end_idx", "tag", F.when(is_heading, L.has(inner, K.TOC_TITLE, True)).alias("contents"),
         F.when(F.col("tag") == "h1", L.has(t, K.LABEL_WORD, True) & ~entry).alias("opens"), rich.alias("rich")))
     groups = elements.where("contents").select(*SIBLINGS).distinct()
-    near = scan(elements.select(*SIBLINGS, "node_idx", "end_idx", "contents").join(groups, SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"_in": last_value(F.col("contents"))})
-    listed = durable(near.where("_in").select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"), F.lit("contents").alias("reason")))
-    rest = durable(outside(elements.drop("contents"), listed))
+    # Only headings are ordered; where a contents heading's part ends, its siblings are looked up by the sixty-fours of nodes it reaches into.
+    heads = scan(elements.where("contents IS NOT NULL").select(*SIBLINGS, "node_idx", "contents").join(groups, SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"],
+                 {"_next": last_value(F.col("node_idx"), inclusive=False)}, descending=True)
+    last = elements.groupBy("doc_id").agg(F.max("node_idx").alias("_last"))
+    parts = heads.where("contents").join(last, "doc_id").select(*SIBLINGS, F.col("node_idx").alias("_s"), F.coalesce(F.col("_next") - 1, "_last").alias("_e"))
+    parts = numbers(parts.select(*SIBLINGS, "_s", "_e", words_of_range("_s", "_e").alias("_word")))
+    near = elements.withColumn("_word", word_of("node_idx")).join(parts, [*SIBLINGS, "_word"]).where("node_idx BETWEEN _s AND _e")
+    listed = durable(near.select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"), F.lit("contents").alias("reason")))
+    rest = outside(elements.drop("contents"), listed)
 
     inside = rest.where("opens").join(roots.select("doc_id", "root_idx", "root_end"), "doc_id").where("node_idx > root_idx AND node_idx <= root_end")
     chapters = durable(inside.select(*SIBLINGS, F.col("node_idx").alias("chapter")))
-    rows = durable(scan(rest.drop("opens").join(chapters.select(*SIBLINGS).distinct(), SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"n": row_number()}))
+    rows = durable(scan(rest.drop("opens").join(numbers(chapters.select(*SIBLINGS).distinct()), SIBLINGS, "left_semi"), SIBLINGS, ["node_idx"], {"n": row_number()}))
     at = chapters.join(rows.select(*SIBLINGS, F.col("node_idx").alias("chapter"), "n"), [*SIBLINGS, "chapter"])
     follow = at.select(*SIBLINGS, "chapter", F.posexplode(F.sequence(F.col("n") + 1, F.col("n") + ahead)).alias("d", "n"))
     look = follow.join(rows.select(*SIBLINGS, "n", "tag", "rich"), [*SIBLINGS, "n"]).groupBy(*SIBLINGS, "chapter").agg(
@@ -62,7 +68,7 @@ def typed_lists(script: EditScript, live: DataFrame, roots: DataFrame) -> DataFr
     children = child.select("doc_id", F.col("node_idx").alias("child_idx"), "tag", text.alias("text"))
     runs = Li.list_runs(children)
     marker = F.coalesce(*[F.nullif(F.length(F.regexp_extract("inner", L.U + p, 0)), F.lit(0)) for p in (K.LIST_ROMAN, K.LIST_ALPHA, K.LIST_DECIMAL)])
-    items = durable(runs.join(live.select("doc_id", F.col("node_idx").alias("child_idx"), "end_idx", marker.alias("n"), "attrs"), ["doc_id", "child_idx"]).withColumnRenamed("child_idx", "node_idx"))
+    items = durable(runs.join(live.where("tag = 'p'").select("doc_id", F.col("node_idx").alias("child_idx"), "end_idx", marker.alias("n"), "attrs"), ["doc_id", "child_idx"]).withColumnRenamed("child_idx", "node_idx"))
     script.cut(items.select("doc_id", "node_idx", "end_idx", "n"))
     script.rename(items.select("doc_id", "node_idx", F.lit("li").alias("tag")))
     script.attribute(items.select("doc_id", "node_idx", F.explode(F.map_keys("attrs")).alias("name"), F.lit(None).cast("string").alias("value")))

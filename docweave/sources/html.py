@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import labels as L
+from ..session import durable
 
 _NODE = ("node_idx int, parent_idx int, depth int, end_idx int, kind string, tag string, ord int, text string, "
          "attrs map<string,string>, path array<struct<idx:int,tag:string,ord:int>>, link_idx int, href string, "
@@ -38,9 +39,9 @@ _OPAQUE = frozenset("script style textarea title iframe noembed noframes noscrip
 class _Reader(HTMLParser):
     """Open-element stack of one page after the other; the rows of all of them are held as columns, in document order."""
 
-    def __init__(self, tags=None):
+    def __init__(self, tags=None, ancestors=None):
         super().__init__(convert_charrefs=True)
-        self.tags = tags
+        self.tags, self.ancestors = tags, ancestors
         self.clear()
 
     def clear(self):
@@ -55,7 +56,8 @@ class _Reader(HTMLParser):
         held = len(self.node)
         self.reset()
         self.n, self.texts, self.pending, self.ords = 0, [], [], {}
-        self.open, self.s_idx, self.s_tag, self.s_ord = [], [], [], []
+        # The tags of open elements, and those of them that rows name as ancestors.
+        self.open, self.s_tag, self.p_idx, self.p_tag, self.p_ord = [], [], [], [], []
         at, match, ends = 0, _PLAIN.match, len(html)
         while at < ends:
             m = match(html, at)
@@ -118,9 +120,9 @@ class _Reader(HTMLParser):
                 self.names += attrs
                 self.values += attrs.values()
             self.attrs_end.append(len(self.names))
-            self.up_idx += self.s_idx
-            self.up_tag += self.s_tag
-            self.up_ord += self.s_ord
+            self.up_idx += self.p_idx
+            self.up_tag += self.p_tag
+            self.up_ord += self.p_ord
             self.path_end.append(len(self.up_idx))
             self.link.append(link)
             self.href.append(href)
@@ -138,9 +140,11 @@ class _Reader(HTMLParser):
                 self.texts.append(text)
 
     def _pop(self):
-        self.s_idx.pop()
-        self.s_tag.pop()
-        self.s_ord.pop()
+        tag = self.s_tag.pop()
+        if self.ancestors is None or tag in self.ancestors:
+            self.p_idx.pop()
+            self.p_tag.pop()
+            self.p_ord.pop()
         return self.open.pop()
 
     def _close(self, node):
@@ -162,9 +166,11 @@ class _Reader(HTMLParser):
             self._close(node)
         else:
             self.open.append(node)
-            self.s_idx.append(node[0])
             self.s_tag.append(tag)
-            self.s_ord.append(node[6])
+            if self.ancestors is None or tag in self.ancestors:
+                self.p_idx.append(node[0])
+                self.p_tag.append(tag)
+                self.p_ord.append(node[6])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -199,16 +205,17 @@ class _Reader(HTMLParser):
                 pa.ListArray.from_arrays(ints(self.path_end), up), ints(self.link), strings(self.href), strings(self.inner), strings(self.spaced)]
 
 
-def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
+def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", tags: tuple[str, ...] | None = None,
+               ancestors: tuple[str, ...] | None = None) -> DataFrame:
     """Tag, text and comment rows of every page with order, depth, parent and ancestors.
     Unclosed tags stay open until an enclosing tag ends. tags: only rows of these elements, with the numbers they have among all;
-    ancestors and inner text are then built for them alone."""
-    wanted = None if tags is None else frozenset(tags)
+    ancestors and inner text are then built for them alone. ancestors: only elements of these tags are in ``path``."""
+    wanted, above = None if tags is None else frozenset(tags), None if ancestors is None else frozenset(ancestors)
 
     def parse(batches):
         import pyarrow as pa
 
-        reader = _Reader(wanted)
+        reader = _Reader(wanted, above)
         for batch in batches:
             keys, html, page = batch.column(0), batch.column(1), []
             for i in range(batch.num_rows):
@@ -293,7 +300,9 @@ def _has_class(name):
 def manual_roots(nodes: DataFrame) -> DataFrame:
     """Content root of every page (grid content, then div or main "manual", then body, then the whole page) with
     the settings the grid carries; the type falls back to the first h1."""
-    tags = nodes.where("kind = 'tag'")
+    pages = nodes.groupBy("doc_id").agg(F.max("node_idx").alias("_last"))
+    # Elements that may count are read once.
+    tags = nodes = durable(nodes.where("kind = 'tag' AND tag IN ('div', 'main', 'body', 'h1')").select("doc_id", "node_idx", "end_idx", "tag", "attrs", F.when(F.col("tag") == "h1", F.col("inner")).alias("inner")))
     manual = F.col("tag").isin("div", "main") & _has_class("manual")
     grid = tags.where((F.col("tag") == "div") & _has_class("manual-grid"))
     # Grids are found on the node itself, so membership needs no path join.
@@ -305,7 +314,7 @@ def manual_roots(nodes: DataFrame) -> DataFrame:
     found = c.groupBy("doc_id").agg(F.min_by(F.struct("node_idx", "end_idx", "tag"), F.struct(rank, "node_idx")).alias("r"),
                                     F.first("g").alias("g"))
     # A page without container and body, such as a bare fragment, is its own root.
-    whole = nodes.groupBy("doc_id").agg(F.struct(F.lit(-1).alias("node_idx"), F.max("node_idx").alias("end_idx"), F.lit(None).cast("string").alias("tag")).alias("_all"))
+    whole = pages.select("doc_id", F.struct(F.lit(-1).alias("node_idx"), F.col("_last").alias("end_idx"), F.lit(None).cast("string").alias("tag")).alias("_all"))
     root = whole.join(found, "doc_id", "left").join(g.withColumnRenamed("g", "_grid"), "doc_id", "left").where(F.col("r").isNotNull() | F.col("_grid").isNull()).select(
         "doc_id", F.coalesce("r", "_all").alias("r"), "g")
     h1 = nodes.where("tag = 'h1'").join(root.select("doc_id", F.col("r.node_idx").alias("_a"), F.col("r.end_idx").alias("_b")), "doc_id")
@@ -319,25 +328,34 @@ def manual_roots(nodes: DataFrame) -> DataFrame:
         a("data-heading-offset").try_cast("int").alias("heading_offset"), a("data-theme").alias("theme_id"))
 
 
-def drop_nodes(nodes: DataFrame, kinds: tuple[str, ...] = ("style", "script", "header", "img", "figure", "figcaption")) -> DataFrame:
-    """Remove elements with everything inside them. Ancestors ride on each row, so this is
-    a filter, not a join."""
+#: Ancestors that the tables below look for in ``path``.
+ASKED_FOR = (*K.BLOCK_TAGS, "table", "thead", "tbody", "tr", "td", "th", "ol", "u", "style", "script", "header", "img", "figure", "figcaption")
+ASSETS = ("style", "script", "header", "img", "figure", "figcaption")
+
+
+def in_asset(kinds: tuple[str, ...] = ASSETS):
+    """Whether a node is one of these elements or inside of one. Ancestors ride on each row, so this needs no join."""
     inside = F.exists("path", lambda p: p["tag"].isin(*kinds))
     sheet = (F.col("tag") == "link") & F.array_contains(F.split(F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), r"\s+"), "stylesheet")
-    return nodes.where(~inside & ~F.coalesce(F.col("tag").isin(*kinds), F.lit(False)) & ~F.coalesce(sheet, F.lit(False)))
+    return inside | F.coalesce(F.col("tag").isin(*kinds), F.lit(False)) | F.coalesce(sheet, F.lit(False))
+
+
+def drop_nodes(nodes: DataFrame, kinds: tuple[str, ...] = ASSETS) -> DataFrame:
+    """Remove elements with everything inside them."""
+    return nodes.where(~in_asset(kinds))
 
 
-def asset_ranges(nodes: DataFrame, kinds: tuple[str, ...] = ("style", "script", "header", "img", "figure", "figcaption")) -> DataFrame:
+def asset_ranges(nodes: DataFrame, kinds: tuple[str, ...] = ASSETS) -> DataFrame:
     """(doc_id, start, end) of the elements that ``drop_nodes`` removes."""
     sheet = (F.col("tag") == "link") & F.array_contains(F.split(F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), r"\s+"), "stylesheet")
     return nodes.where(F.col("tag").isin(*kinds) | sheet).select("doc_id", F.col("node_idx").alias("start"), F.col("end_idx").alias("end"))
 
 
 def body_ranges(nodes: DataFrame) -> DataFrame:
-    """(doc_id, start, end): the content of the first body element, or the whole page where there is none."""
-    body = nodes.where("tag = 'body'").groupBy("doc_id").agg(F.min_by(F.struct((F.col("node_idx") + 1).alias("start"), F.col("end_idx").alias("end")), "node_idx").alias("b"))
-    whole = nodes.groupBy("doc_id").agg(F.struct(F.lit(0).alias("start"), F.max("node_idx").alias("end")).alias("w"))
-    return whole.join(body, "doc_id", "left").select("doc_id", F.coalesce("b", "w").alias("r")).select("doc_id", "r.start", "r.end")
+    """(doc_id, start, end, last): the content of the first body element, or the whole page where there is none, and the last node of the page."""
+    body = F.when(F.col("tag") == "body", F.struct("node_idx", (F.col("node_idx") + 1).alias("start"), F.col("end_idx").alias("end")))
+    pages = nodes.groupBy("doc_id").agg(F.min(body).alias("b"), F.max("node_idx").alias("last"))
+    return pages.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("b.start", F.lit(0)).alias("start"), F.coalesce("b.end", "last").alias("end"), "last")
 
 
 def unwrap_inline(nodes: DataFrame, tags: tuple[str, ...] = K.INLINE_TAGS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.table_functions import register_tables
 from docweave.operators import edit_script, tables as T
 from docweave.operators.edit_script import EditScript
-from docweave.plans import corpus as C
+from docweave.plans import corpus as C, passes as P
 from docweave.session import durable
 from docweave.sources import html as S
 
@@ -107,3 +107,33 @@ def test_table_functions(spark):
     spark.createDataFrame([(1, data.getvalue()), (2, broken), (3, b"no zip"), (4, None)], "doc_id long, content binary").createOrReplaceTempView("zips_of_test")
     got = {(r.doc_id, r.part): (r.error is None, r.content) for r in spark.sql("SELECT d.doc_id, m.* FROM zips_of_test d, LATERAL archive_members(d.content, true) m").collect()}
     assert got == {(1, "a.txt"): (True, b"one"), (1, "b.txt"): (True, b"two" * 50), (2, "a.txt"): (True, b"one"), (2, "b.txt"): (False, None), (3, None): (False, None), (4, None): (False, None)}
+
+
+def test_ranges_are_written_as_one_row_for_64_nodes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(edit_script, "durable", lambda df: written.append(durable(df)) or written[-1])
+    nodes = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("node_idx"))
+    ranges = spark.createDataFrame([(1, 3, 900), (1, 63, 64), (1, 950, 950), (1, 960, 959)], "doc_id long, start int, end int")
+    out = edit_script.outside(nodes, ranges)
+    assert sorted(r.node_idx for r in out.collect()) == [i for i in range(1000) if not (3 <= i <= 900 or i == 950)]
+    assert sum(df.count() for df in written) == 15
+    # What a pass does not take of the nodes never meets the ranges.
+    plan = out.where("node_idx = 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("= 3)")
+
+
+def test_contents_end_at_the_next_heading_of_the_same_parent(spark):
+    html = ("<body>0<p>cover</p>1<div><h2>Table of Contents</h2>x<p>a</p><p>b</p></div><h1>Table of Contents</h1><p>c</p>2<ul><li>d<h2>inner</h2></li></ul><h1>Chapter 1 - Go</h1>"
+            "<p>short</p><p>long enough to be the text</p><h2>Table of Contents</h2><p>e</p></body>")
+    nodes = durable(S.html_nodes(spark.createDataFrame([(1, html), (2, "<p>no heading</p>")], "doc_id long, html string")))
+    shown = {r.node_idx: r.inner if r.tag in ("p", "h1", "h2") else r.tag for r in nodes.where("doc_id = 1 AND kind = 'tag'").collect()}
+    rows = P.front_matter(S.drop_nodes(nodes), S.manual_roots(nodes)).collect()
+    got = sorted((r.doc_id, r.reason, shown[r.start]) for r in rows)
+    assert got == sorted([(1, "contents", x) for x in ("Table of Contents", "a", "b", "Table of Contents", "c", "ul", "Table of Contents", "e")] + [(1, "before the first chapter", x) for x in ("cover", "div")])
+
+
+def test_nodes_of_a_conversion_name_the_ancestors_that_passes_ask_for(spark):
+    out = C.convert_corpus(spark.createDataFrame([(1, "<html><body><div><p><b>x</b><i>y</i></p></div></body></html>")], "doc_id long, html string"))
+    path = {r.text: [p.tag for p in r.path] for r in out.nodes.where("kind = 'text'").collect()}
+    assert path == {"x": ["p"], "y": ["p"]}
+    assert [r.seg_idx for r in out.segments.orderBy("seg_idx").collect()] == [0, 1]
