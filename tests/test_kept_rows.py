@@ -5,11 +5,15 @@ import random
 import xml.etree.ElementTree as ET
 import zipfile
 
+from pyspark.sql import functions as F
+
+from docweave.functions import labels as L
 from docweave.operators import headings as H
 from docweave.operators import paragraphs as P
 from docweave.operators import review as R
 from docweave.operators import tables as T
 from docweave.plans import corpus as C
+from docweave.session import durable
 from docweave.sources import docx as D
 from docweave.sources import html as S
 from docweave.sources import maps as M
@@ -111,3 +115,36 @@ def test_spanned_cells_against_a_painted_sheet(spark):
     cells = spark.createDataFrame([(1, t, *c) for t, own in tables.items() for c in own], "doc_id long, table_idx int, row_idx int, cell_idx int, colspan int, rowspan int")
     got = {(r["table_idx"], r["row_idx"], r["cell_idx"]): r["col_idx"] for r in T.table_grid(cells).collect()}
     assert got == {(t, r, k): col for t, own in tables.items() for (r, k), col in painted(own).items()}
+
+
+def test_edits_as_many_as_the_corpus_are_not_broadcast(spark):
+    from docweave.operators import edits as E
+
+    refs = durable(spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.col("id").cast("int").alias("para_idx"), F.lit(15).alias("start"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("Section "), F.col("id") % 40)).alias("label")))
+    ids = refs.select("doc_id", L.ref_id("para_idx", "start", "label").alias("ref_id"), F.lit("reference_edits").alias("kind"), F.lit("x").alias("value"))
+    saved = durable(ids.where("doc_id % 2 = 0").unionByName(ids.limit(50)).unionByName(spark.createDataFrame([(0, "ref_007_15_0a1b2c3d", "reference_edits", "y"), (None, None, "reference_edits", "z")], ids.schema)))
+    for df in (E.edited_ids(saved, refs), E.reattach_edits(refs, saved), E.reattach_edits(refs, saved, trust_exact=True)):
+        df.count()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    both = {tuple(r) for r in saved.select("doc_id", "ref_id").collect()} & {tuple(r) for r in ids.select("doc_id", "ref_id").collect()}
+    assert sorted(map(tuple, E.edited_ids(saved, refs).collect()), key=str) == sorted(both, key=str)
+    # Numbers that are no whole type keep the id as it was written.
+    other = refs.withColumn("start", F.col("start").cast("string"))
+    rows = lambda r: sorted(map(str, E.reattach_edits(r, saved, trust_exact=True).collect()))
+    assert rows(refs) == rows(other)
+
+
+def test_what_is_looked_up_goes_by_its_number(spark):
+    from docweave.operators import references as R
+
+    index = durable(spark.createDataFrame([(1, "Chapter 1", 1, "Go", "Chapter 1 - Go", "go"), (1, "Chapter 2", 2, "Stay", "Chapter 2 - Stay", ""), (2, "Chapter 1", 1, "Go", "Chapter 1 - Go", "go")],
+                                          "doc_id long, key string, ord int, text string, full string, id string"))
+    wanted = spark.createDataFrame([(1, "Chapter 1", None, None), (1, "Chapter 1", None, "stay"), (1, "Chapter 9", "Go", ""), (1, None, "Go", ""), (None, "Chapter 1", "Go", ""), (1, "Chapter 1", None, None)],
+                                   "doc_id long, label string, display string, target string")
+    cross = spark.createDataFrame([(1, "Chapter 9", "Chapter 1"), (1, "Chapter 9", "nothing")], "doc_id long, old_ref string, new_ref string")
+    out = R.resolve_anchors(wanted, index, cross)
+    got = sorted((tuple(r[c] for c in ("doc_id", "label", "display", "target", "cross", "anchor")) for r in out.collect()), key=str)
+    assert got == sorted([(1, "Chapter 1", "", "", None, None), (1, "Chapter 1", "", "stay", None, None), (1, "Chapter 9", "Go", "", "Chapter 1", "go"), (1, "Chapter 9", "Go", "", "nothing", "go"),
+                          (1, None, "Go", "", None, None), (None, "Chapter 1", "Go", "", None, None)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and "display" in x]
